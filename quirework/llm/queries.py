@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirework.llm.encoding import garbled
+from quirework.llm.leakage import leaks, without_leaks
 from quirework.llm.ledger import copies, ledger_of
 from quirework.llm.near_duplicates import NearDuplicates
 from quirework.sources.tables import table
@@ -37,7 +39,27 @@ def p4_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return known.select(F.col("first.id").alias("first_entry_id"), F.col("first.term").alias("term"), F.col("n").alias("n_copies"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_collapsed)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents, items = table(spark, folder, "documents"), table(spark, folder, "eval_items")
+    return leaks(documents, items, "doc_id", "text", "item_id", "text").select("doc_id", "item_id")
+
+
+def p9_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """The leaking documents without the leaked spans."""
+    documents, items = table(spark, folder, "documents"), table(spark, folder, "eval_items")
+    return without_leaks(documents, items, "doc_id", "text", "item_id", "text")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled(table(spark, folder, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The garbled documents with their text as far as it can be restored."""
+    return garbled(table(spark, folder, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_collapsed, p9_found, p9_cleaned, p10_found, p10_restored)}
 
 _KEYS = r"""
 with keyed as (select entry_id, term, array_to_string(list_sort(list_filter(list_transform(string_split(lower(upper(term)), '/'),
