@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from quirework.llm.encoding import garbled
 from quirework.llm.leakage import leaks, without_leaks
 from quirework.llm.ledger import copies, ledger_of
+from quirework.llm.lookalikes import normalized_fields
 from quirework.llm.near_duplicates import NearDuplicates
+from quirework.llm.packing import containers, pack
 from quirework.sources.tables import table
 
 
@@ -39,6 +41,40 @@ def p4_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return known.select(F.col("first.id").alias("first_entry_id"), F.col("first.term").alias("term"), F.col("n").alias("n_copies"))
 
 
+def _consistent(spark: SparkSession, folder: str) -> DataFrame:
+    return normalized_fields(table(spark, folder, "glossary"), "entry_id", ["term", "definition"])
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _consistent(spark, folder).where("size(kinds) > 0").select("entry_id", "field_name")
+
+
+def p2_normalized(spark: SparkSession, folder: str) -> DataFrame:
+    """The consistent form of every term and definition."""
+    return _consistent(spark, folder)
+
+
+def p2_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Each term in its consistent form, without regard to case, over all editions."""
+    glossary = table(spark, folder, "glossary").select("entry_id", "edition", "term")
+    terms = normalized_fields(glossary, "entry_id", ["term"]).select("entry_id", F.lower(F.trim("text")).alias("consistent_term"))
+    # ids are unique, so neither side of this join has a hot key
+    both = glossary.join(terms, "entry_id")
+    return both.groupBy("consistent_term").agg(
+        F.count("*").alias("n_entries"), F.count_distinct("edition").alias("n_editions"), F.count_distinct("term").alias("n_spellings")
+    )
+
+
+def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every text or part of one."""
+    return pack(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """How full each container is."""
+    return containers(pack(table(spark, folder, "documents"), "doc_id", "text"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     documents, items = table(spark, folder, "documents"), table(spark, folder, "eval_items")
     return leaks(documents, items, "doc_id", "text", "item_id", "text").select("doc_id", "item_id")
@@ -59,7 +95,7 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
     return garbled(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_collapsed, p9_found, p9_cleaned, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_normalized, p2_terms, p3_found, p3_groups, p4_found, p4_collapsed, p8_pack, p8_containers, p9_found, p9_cleaned, p10_found, p10_restored)}
 
 _KEYS = r"""
 with keyed as (select entry_id, term, array_to_string(list_sort(list_filter(list_transform(string_split(lower(upper(term)), '/'),
@@ -67,7 +103,23 @@ with keyed as (select entry_id, term, array_to_string(list_sort(list_filter(list
 ledger as (select key, min(entry_id) as first_entry_id, arg_min(term, entry_id) as term, count(*) as n from keyed group by key)
 """
 
+_SHINGLES = r"""
+with texts as (select entry_id, regexp_extract_all(lower(coalesce(term, '') || ' ' || coalesce(definition, '')), '[\p{L}\p{N}]+') as w from owlmanac_2016),
+shingles as (select distinct entry_id, array_to_string(w[i:i+2], ' ') as s from (select entry_id, w, unnest(generate_series(1, len(w) - 2)) as i from texts)),
+sizes as (select entry_id, count(*) as n from shingles group by entry_id),
+common as (select a.entry_id as a, b.entry_id as b, count(*) as k from shingles a join shingles b on a.s = b.s and a.entry_id < b.entry_id group by all)
+"""
+
+_WINDOWS = r"""
+with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents),
+dw as (select doc_id, array_to_string(w[i:i+11], ' ') as g from (select doc_id, w, unnest(generate_series(1, len(w) - 11)) as i from d)),
+e as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from eval_items),
+ew as (select item_id, array_to_string(w[i:i+11], ' ') as g from (select item_id, w, unnest(generate_series(1, len(w) - 11)) as i from e))
+"""
+
 SQL = {
+    "p3_found": _SHINGLES + "select a as entry_id_a, b as entry_id_b from common join sizes x on x.entry_id = a join sizes y on y.entry_id = b where 3 * k >= x.n + y.n",
+    "p9_found": _WINDOWS + "select distinct doc_id, item_id from dw join ew using (g)",
     "p4_found": _KEYS + "select first_entry_id, entry_id as copy_entry_id from keyed join ledger using (key) where entry_id <> first_entry_id",
     "p4_collapsed": _KEYS + "select first_entry_id, term, n as n_copies from ledger",
 }
