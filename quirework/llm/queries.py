@@ -11,6 +11,7 @@ from quirework.llm.ledger import copies, ledger_of
 from quirework.llm.lookalikes import normalized_fields
 from quirework.llm.near_duplicates import NearDuplicates
 from quirework.llm.packing import containers, pack
+from quirework.llm.scans import Repairs
 from quirework.sources.tables import table
 
 
@@ -65,6 +66,30 @@ def p2_terms(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _repairs(spark: SparkSession, folder: str) -> Repairs:
+    rows = table(spark, folder, "glossary_rows")
+    fields = [
+        ("glossary", "definition", table(spark, folder, "glossary").select(F.col("entry_id").alias("row_id"), F.col("definition").alias("text"))),
+        ("glossary_rows", "definition", rows.select("row_id", F.col("definition").alias("text"))),
+        ("glossary_rows", "warnings", rows.select("row_id", F.explode("warnings").alias("text"))),
+    ]
+    return Repairs(table(spark, folder, "page_lines"), fields)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _repairs(spark, folder).faults()
+
+
+def p5_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """The scanned pages as readable paragraphs."""
+    return _repairs(spark, folder).paragraphs()
+
+
+def p5_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """The definitions and warnings as readable text."""
+    return _repairs(spark, folder).repaired_fields().select("table_name", "field_name", "row_id", "repaired")
+
+
 def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
     """The container of every text or part of one."""
     return pack(table(spark, folder, "documents"), "doc_id", "text")
@@ -95,7 +120,7 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
     return garbled(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_normalized, p2_terms, p3_found, p3_groups, p4_found, p4_collapsed, p8_pack, p8_containers, p9_found, p9_cleaned, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_normalized, p2_terms, p3_found, p3_groups, p4_found, p4_collapsed, p5_found, p5_paragraphs, p5_fields, p8_pack, p8_containers, p9_found, p9_cleaned, p10_found, p10_restored)}
 
 _KEYS = r"""
 with keyed as (select entry_id, term, array_to_string(list_sort(list_filter(list_transform(string_split(lower(upper(term)), '/'),
