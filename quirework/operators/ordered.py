@@ -45,3 +45,36 @@ def lead_text(text: Column, window) -> Column:
     """The next line of the window that isn't blank; empty if there is none."""
     full = F.when(F.trim(text) != "", text)
     return F.coalesce(F.first(full, ignorenulls=True).over(window.rowsBetween(1, Window.unboundedFollowing)), F.lit(""))
+
+
+def running_sum(rows: DataFrame, keys: list[str], position: str, value: str, name: str, width: int) -> DataFrame:
+    """Adds name: the sum of value from the group's first row to this one, by position. Summed by
+    spans of positions as in running_number, so a hot group isn't one task. Null values count 0."""
+    cut = rows.withColumn("_span", F.coalesce(F.floor(F.col(position) / width), F.lit(-1)).cast("bigint"))
+    sums = cut.groupBy(*keys, "_span").agg(F.sum(F.coalesce(value, F.lit(0))).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_span").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    ties = [c for c, kind in rows.dtypes if c not in keys and c != position and not kind.startswith("map")]
+    inside = Window.partitionBy(*keys, "_span").orderBy(position, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = F.col("_span") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    summed = cut.withColumn("_own", F.sum(F.coalesce(value, F.lit(0))).over(inside)).join(offsets, same)
+    return summed.withColumn(name, F.col("_own") + F.col("_offset")).select(*rows.columns, name)
+
+
+def next_text(rows: DataFrame, keys: list[str], position: str, text: str, name: str, width: int) -> DataFrame:
+    """Adds name: the next line of the group that isn't blank, empty if there is none. What follows
+    a span is its first such line, one row a span."""
+    full = F.when(F.trim(text) != "", F.col(text))
+    cut = rows.withColumn("_span", F.coalesce(F.floor(F.col(position) / width), F.lit(-1)).cast("bigint"))
+    firsts = cut.groupBy(*keys, "_span").agg(F.min_by(full, F.when(full.isNotNull(), F.col(position))).alias("_first"))
+    after = Window.partitionBy(*keys).orderBy("_span").rowsBetween(1, Window.unboundedFollowing)
+    following = firsts.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_span").alias("_at"), F.first("_first", ignorenulls=True).over(after).alias("_later"))
+    ties = [c for c, kind in rows.dtypes if c not in keys and c != position and not kind.startswith("map")]
+    inside = Window.partitionBy(*keys, "_span").orderBy(position, *ties).rowsBetween(1, Window.unboundedFollowing)
+    same = F.col("_span") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    led = cut.withColumn("_own", F.first(full, ignorenulls=True).over(inside)).join(following, same)
+    return led.withColumn(name, F.coalesce("_own", "_later", F.lit(""))).select(*rows.columns, name)
