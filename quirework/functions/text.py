@@ -42,7 +42,7 @@ def slugify(text: Column, empty: str = "img") -> Column:
 
 def shorten(text: Column, width: int) -> Column:
     """At most width characters; what is cut off becomes an ellipsis."""
-    return F.when(F.length(text) > width, F.concat(F.rtrim(F.substring(text, 1, width - 1)), F.lit("…"))).otherwise(text)
+    return F.when(F.length(text) > width, F.concat(F.substring(text, 1, width - 1), F.lit("…"))).otherwise(text)
 
 
 def html_escape(text: Column) -> Column:
@@ -63,27 +63,22 @@ def html_unescape(text: Column) -> Column:
 
 def html_to_text(page: Column) -> Column:
     """Crude text of a page, in ten ordered steps whose quirks are part of the result: <link> gives
-    a list mark, <br> only with nothing but spaces and a slash, a bare < eats up to the next >."""
+    a list mark, <br> or a closing tag counts only without attributes, a bare < eats up to the
+    next >."""
     steps = (
-        (r"(?is)<(script|style|noscript)\b.*?</\1>", ""),
-        (r"(?s)<!--.*?-->", ""),
+        (r"(?is)<(script|style|noscript).*?</\1>", " "),
+        (r"(?is)<!--.*?-->", " "),
         (r"(?i)<br\s*/?>", "\n"),
-        (r"(?i)</(p|div|tr|table|ul|ol|blockquote|h[1-6]|li|section|article|header|footer)>", "\n"),
-        (r"(?i)<h1[^>]*>", "\n# "),
-        (r"(?i)<h2[^>]*>", "\n## "),
-        (r"(?i)<h3[^>]*>", "\n### "),
-        (r"(?i)<h4[^>]*>", "\n#### "),
-        (r"(?i)<h5[^>]*>", "\n##### "),
-        (r"(?i)<h6[^>]*>", "\n###### "),
+        (r"(?i)</(?:p|div|li|tr|h[1-6]|blockquote|td|th|dt|dd|option|pre)>", "\n"),
+        *((rf"(?i)<h{level}[^>]*>", "\n" + "#" * level + " ") for level in range(1, 7)),
         (r"(?i)<li[^>]*>", "- "),
-        (r"(?s)<[^>]+>", " "),
+        (r"<[^>]+>", " "),
     )
     text = page
     for pattern, new in steps:
         text = F.regexp_replace(text, pattern, new)
     text = F.regexp_replace(html_unescape(text), r"[ \t\r\x{A0}]+", " ")
-    text = F.regexp_replace(text, r" ?\n ?", "\n")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\n+|\n+$", ""))
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)\n\s*\n+", "\n\n"), r"(?U)^\s+|\s+$", "")
 
 
 def decode_bytes(data: Column) -> Column:
@@ -102,13 +97,49 @@ def ligatures(text: Column) -> Column:
     return text
 
 
-def shifted_decode(line: Column, marker: str = r"\x{03}") -> Column:
-    """Runs of eight or more characters from ! to ] or the marker that hold the marker were set in
-    a font 29 code points down; each is moved up again. The rest of the line stays."""
-    runs = F.regexp_extract_all(line, F.lit(rf"[!-\]{marker}]{{8,}}"), F.lit(0))
-    shifted = "".join(map(chr, [3, *range(0x21, 0x5E)]))
-    plain = "".join(chr(ord(c) + 29) for c in shifted)
-    return F.aggregate(F.filter(runs, lambda r: r.rlike(marker)), line, lambda done, run: F.replace(done, run, F.translate(run, shifted, plain)))
+# What a font whose codes are 29 too low makes of ligatures and common words.
+SHIFTED_LIGATURES = {"À": "fi", "Á": "fl", "Â": "ffi", "¿": "ff"}
+SHIFTED_MARKERS = ("WKH", "DQG", "RI", "WR", "LQ", "LV", "IRU", "ZLWK", "À", "Á")
+
+
+def _unshifted(run: Column) -> Column:
+    low = "".join(map(chr, [3, *range(0x21, 0x5E)]))
+    made = F.translate(run, low, "".join(chr(ord(c) + 29) for c in low))
+    for seen, meant in SHIFTED_LIGATURES.items():
+        made = F.replace(made, F.lit(seen), F.lit(meant))
+    return made
+
+
+def _with_runs(line: Column, runs: Column, new) -> Column:
+    """The line with every run replaced, from left to right; the text between stays."""
+
+    def before(rest: Column, run: Column) -> Column:
+        return F.call_function("substring_index", rest, run, F.lit(1))
+
+    done = F.aggregate(
+        runs, F.struct(F.lit("").alias("out"), line.alias("rest")),
+        lambda s, run: F.struct(
+            F.concat(s["out"], before(s["rest"], run), new(run)).alias("out"),
+            F.substr(s["rest"], F.length(before(s["rest"], run)) + F.length(run) + 1).alias("rest"),
+        ),
+        lambda s: F.concat(s["out"], s["rest"]),
+    )
+    return F.when(F.size(runs) > 0, done).otherwise(line)
+
+
+def shifted_decode(line: Column, markers: tuple[str, ...] = SHIFTED_MARKERS) -> Column:
+    """Runs of eight or more characters that a font set 29 code points down, if they hold one of the
+    markers, are moved up again and put in brackets. A capital word that happens to hold a marker
+    is decoded too, as there is no telling it from such a run."""
+    runs = F.regexp_extract_all(line, F.lit(r"[!-\]¿-Â]{8,}"), F.lit(0))
+    held = "|".join(markers)
+    return _with_runs(line, F.filter(runs, lambda r: r.rlike(held)), lambda r: F.concat(F.lit("⟨"), _unshifted(r), F.lit("⟩")))
+
+
+def shifted_spaces_decode(line: Column) -> Column:
+    """Runs around a U+0003, which is a space set 29 code points down, moved up again."""
+    runs = F.regexp_extract_all(line, F.lit(r"[\x{03}!-\]¿-Â]*\x{03}[\x{03}!-\]¿-Â]*"), F.lit(0))
+    return _with_runs(line, runs, _unshifted)
 
 
 def letter_shares(text: Column) -> tuple[Column, Column]:
@@ -161,20 +192,23 @@ def is_furniture(line: Column, patterns: list[str]) -> Column:
     return F.trim(line).rlike("^(?:" + "|".join(patterns) + ")$")
 
 
+# Words that may be small in a term, and signs that may open one.
+SMALL_WORDS = ["and", "of", "the", "a", "or", "to", "in", "de", "for", "at", "on", "&", "/"]
+OPENS = r"^[\p{Lu}\p{Nd}“\"'(]"
+NUMBERED = r"^[0-9]\.\s"
+
+
 def looks_like_term(line: Column) -> Column:
     """Short, in title case and without a sentence's end: at most 40 characters, not numbered, an
-    opening capital or digit, and of up to three words in up to 25 characters one may be in lower
-    case (small words don't count), else none."""
+    opening capital, digit, quote or bracket, and of up to three words in up to 25 characters one
+    may be in lower case (small words don't count), else none."""
     text = F.trim(line)
     words = F.split(text, r"\s+")
-    small = ["a", "an", "and", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with"]
-    lower = F.size(F.filter(words, lambda w: ~w.rlike(r"^[\p{Lu}\p{Nd}“\"'‘(#]") & ~F.lower(w).isin(small)))
+    lower = F.size(F.filter(words, lambda w: ~w.rlike(OPENS) & ~F.lower(w).isin(SMALL_WORDS)))
     allowed = F.when((F.size(words) <= 3) & (F.length(text) <= 25), 1).otherwise(0)
     closed = text.rlike(r"[.,;:!?\"”’]$") | (text.endswith(")") & ~F.contains(text, F.lit("(")))
-    return (
-        (F.length(text) > 0) & (F.length(text) <= 40) & ~text.rlike(r"^[0-9]+[.)]") & ~closed
-        & text.rlike(r"^[\p{Lu}\p{Nd}“\"'‘(#]") & (lower <= allowed)
-    )
+    short = (F.length(text) > 0) & (F.length(text) <= 40)
+    return short & ~text.rlike(NUMBERED) & ~closed & text.rlike(OPENS) & (lower <= allowed)
 
 
 def evidence_tags(text: Column) -> Column:
@@ -219,19 +253,17 @@ def format_citation(key: Column, locator: Column) -> Column:
     return F.when(F.coalesce(key, F.lit("")) == "", "").otherwise(F.concat(F.lit("[@"), key, part, F.lit("]")))
 
 
-def entry_warnings(term: Column, definition: Column) -> Column:
+def entry_warnings(term: Column, definition: Column, longest_term: int = 40, longest_definition: int = 600) -> Column:
     """What a drafted entry should be looked at for; several may hold."""
-    length = F.coalesce(F.length(definition), F.lit(0))
-    return F.array_compact(
-        F.array(
-            F.when(length == 0, "definition is missing"),
-            F.when((length > 0) & (length < 20), "definition is short"),
-            F.when(length > 600, "definition may run on"),
-            F.when(F.length(term) > 45, "term is long, check"),
-            F.when(definition.rlike(r"^\p{Ll}"), "definition starts in lower case"),
-            F.when(term.rlike(r"[.!?]$"), "term ends a sentence"),
-        )
+    rules = (
+        (F.coalesce(definition, F.lit("")) == "", "no definition"),
+        (F.length(term) > longest_term, "long term"),
+        (term.rlike(r"^\p{Ll}"), "term starts in lower case"),
+        (term.rlike("[.,;:]$") & (F.length(term) > 3), "term ends in punctuation"),
+        (F.length(definition) > longest_definition, "long definition"),
+        (definition.rlike(r"^\p{Ll}"), "definition starts in lower case"),
     )
+    return F.array_compact(F.array(*(F.when(holds, said) for holds, said in rules)))
 
 
 def backoff(retry_after: Column, failures: Column, first: int = 60, most: int = 900) -> Column:

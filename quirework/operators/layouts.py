@@ -14,13 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.functions.text import dehyphenate, entry_warnings, indent_width, looks_like_term
+from quirework.functions.text import NUMBERED, dehyphenate, entry_warnings, indent_width, looks_like_term
 from quirework.operators.ordered import next_text, running_sum
 
 #: Positions of one span: four pages of PAGE positions.
 PAGE, COLUMN = 1_000_000, 10_000
 SPAN = 4 * PAGE
-NUMBERED = r"^[0-9]+[.)]"
 LAYOUTS = ("numbered", "plain", "indent", "para", "colon")
 
 
@@ -123,7 +122,7 @@ class _Plain:
         if not text:
             self.before = ""
             return done
-        ended = self.before == "" or self.before[-1] in ".!?…:”\"’)"
+        ended = self.before == "" or self.before[-1] in ".!?)”\"’…"
         if like_term and ended and (self.held is None or len(self.held) > 1):
             done = self.close() or done
             self.held = [text]

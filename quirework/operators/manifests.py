@@ -51,14 +51,16 @@ def delimiter_faults(rows: DataFrame, row_id: list[str], columns: list[str]) ->
 
 def slugged(items: DataFrame, folder: str, text: str, order: str) -> DataFrame:
     """items with name: the slug of the text, the second of a folder's name-2 and so on, in order
-    (an integer). A number that a text's own slug has already is passed over by numbering such
-    items after a double hyphen, which no slug has. Hot names are numbered by spans."""
+    (an integer). Where an item's own slug is such a name already, the number comes after a double
+    hyphen, which no slug has, so names are unique in a folder. Hot names are numbered by spans."""
     named = items.withColumn("_slug", slugify(F.coalesce(text, F.lit(""))))
-    numbered = running_number(named, [folder, "_slug"], order, "_n")
-    own = F.col("_slug").rlike("-[0-9]+$")
-    mark = F.when(own, "--").otherwise("-")
-    name = F.when(F.col("_n") == 1, F.col("_slug")).otherwise(F.concat("_slug", mark, F.col("_n").cast("string")))
-    return numbered.withColumn("name", name).drop("_slug", "_n")
+    numbered = running_number(named, [folder, "_slug"], order, "_n").withColumn("_name", F.concat("_slug", F.lit("-"), F.col("_n").cast("string")))
+    own = named.select(F.col(folder).alias("_folder"), F.col("_slug").alias("_own")).distinct()
+    later = numbered.where("_n > 1").join(own, F.col(folder).eqNullSafe(F.col("_folder")) & (F.col("_name") == F.col("_own")), "left")
+    apart = F.when(F.col("_own").isNull(), F.col("_name")).otherwise(F.concat("_slug", F.lit("--"), F.col("_n").cast("string")))
+    first = numbered.where("_n = 1").withColumn("name", F.col("_slug"))
+    columns = [*items.columns, "name"]
+    return first.select(*columns).unionByName(later.withColumn("name", apart).select(*columns))
 
 
 def with_empty_groups(groups: DataFrame, items: DataFrame, key: str) -> DataFrame:

@@ -137,8 +137,9 @@ def shifted_decode(spark: SparkSession, folder: str) -> DataFrame:
     """Terms set 29 code points down, as a broken font gives them, and read again."""
     low, high = "".join(map(chr, range(0x21, 0x5E))), "".join(map(chr, range(0x3E, 0x7B)))
     word = F.regexp_replace("term", "[^a-zA-Z]", "")
-    broken = F.concat(F.lit("no. "), F.translate(F.concat(F.lit("abcdefgh"), F.lower(word)), high, low), F.lit("\x03"), F.lit(" end"))
-    return table(spark, folder, "owlmanac_2016").select("entry_id", X.shifted_decode(broken).alias("read"))
+    broken = F.concat(F.lit("no. "), F.translate(F.concat(F.lit("the"), F.lower(word)), high, low), F.lit("À end"))
+    spaced = F.concat(F.lit("no "), F.translate(F.lower(word), high, low), F.lit("\x03"), F.translate(F.lit("end"), high, low))
+    return table(spark, folder, "owlmanac_2016").select("entry_id", X.shifted_decode(broken).alias("read"), X.shifted_spaces_decode(spaced).alias("spaced"))
 
 
 def readability(spark: SparkSession, folder: str) -> DataFrame:
@@ -224,14 +225,14 @@ axis as (select gallery_key, 2012 as start_year, greatest(max(last_year), 2013)
 SQL = {
     "furniture_filter": r"select line_id from page_lines where not regexp_full_match(trim(coalesce(text, '')), '(?:-? ?\d{1,3} ?-?|Page \d+( of \d+)?|\[\d+\]|Printed for .*)')",
     "term_heuristic": r"""with t as (select line_id, trim(text) as t from page_lines where text is not null),
-  w as (select line_id, t, len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: not regexp_matches(w, '^[\p{Lu}\p{Nd}“"''‘(#]') and lower(w) not in ('a', 'an', 'and', 'at', 'by', 'for', 'from', 'in', 'of', 'on', 'or', 'the', 'to', 'with'))) as low, len(regexp_split_to_array(t, '\s+')) as n from t)
-  select line_id, length(t) > 0 and length(t) <= 40 and not regexp_matches(t, '^[0-9]+[.)]') and not (regexp_matches(t, '[.,;:!?"”’]$') or (ends_with(t, ')') and not contains(t, '('))) and regexp_matches(t, '^[\p{Lu}\p{Nd}“"''‘(#]') and low <= case when n <= 3 and length(t) <= 25 then 1 else 0 end as like_term from w""",
+  w as (select line_id, t, len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: not regexp_matches(w, '^[\p{Lu}\p{Nd}“"''(]') and lower(w) not in ('and', 'of', 'the', 'a', 'or', 'to', 'in', 'de', 'for', 'at', 'on', '&', '/'))) as low, len(regexp_split_to_array(t, '\s+')) as n from t)
+  select line_id, length(t) > 0 and length(t) <= 40 and not regexp_matches(t, '^[0-9]\.\s') and not (regexp_matches(t, '[.,;:!?"”’]$') or (ends_with(t, ')') and not contains(t, '('))) and regexp_matches(t, '^[\p{Lu}\p{Nd}“"''(]') and low <= case when n <= 3 and length(t) <= 25 then 1 else 0 end as like_term from w""",
     "next_text_line": _LINES + r"select line_id, following, length(following) - length(regexp_replace(following, '^\s+', '')) as indent from led",
-    "parse_numbered": """with lines as (select line_id, doc, position, case when position % 3 = 0 and trim(t) <> '' then '1. ' || trim(t) else t end as text from (select line_id, doc, coalesce(page, 0) * 1000000 + coalesce(col_no, 0) * 10000 + coalesce(line_no, 0) as position, coalesce(text, '') as t from page_lines)),
+    "parse_numbered": r"""with lines as (select line_id, doc, position, case when position % 3 = 0 and trim(t) <> '' then '1. ' || trim(t) else t end as text from (select line_id, doc, coalesce(page, 0) * 1000000 + coalesce(col_no, 0) * 10000 + coalesce(line_no, 0) as position, coalesce(text, '') as t from page_lines)),
 led as (select *, coalesce(first_value(case when trim(text) <> '' then text end ignore nulls) over (partition by doc order by position, line_id rows between 1 following and unbounded following), '') as following from lines),
-marked as (select *, trim(text) <> '' and not regexp_matches(trim(text), '^[0-9]+[.)]') and starts_with(trim(following), '1.') as is_start from led)""" + _ENTRIES,
-    "parse_indent": _LINES + r""", marked as (select *, trim(text) <> '' and length(following) - length(regexp_replace(following, '^\s+', '')) > length(text) - length(regexp_replace(text, '^\s+', '')) and not regexp_matches(trim(text), '^[0-9]+[.)]')
-  and not (regexp_matches(trim(following), '^[0-9]+[.)]') and not starts_with(trim(following), '1.')) and (not regexp_matches(trim(text), '[.!?”"]$') or length(trim(text)) <= 12) and length(trim(text)) <= 45 as is_start from led)""" + _ENTRIES,
+marked as (select *, trim(text) <> '' and not regexp_matches(trim(text), '^[0-9]\.\s') and starts_with(trim(following), '1.') as is_start from led)""" + _ENTRIES,
+    "parse_indent": _LINES + r""", marked as (select *, trim(text) <> '' and length(following) - length(regexp_replace(following, '^\s+', '')) > length(text) - length(regexp_replace(text, '^\s+', '')) and not regexp_matches(trim(text), '^[0-9]\.\s')
+  and not (regexp_matches(trim(following), '^[0-9]\.\s') and not starts_with(trim(following), '1.')) and (not regexp_matches(trim(text), '[.!?”"]$') or length(trim(text)) <= 12) and length(trim(text)) <= 45 as is_start from led)""" + _ENTRIES,
     "parse_para": _LINES + r""", numbered as (select *, sum(case when trim(text) = '' then 1 else 0 end) over (partition by doc order by position, line_id) as paragraph from lines),
   parts as (select doc, paragraph, min(position) as position, arg_min(trim(text), {'p': position, 'l': line_id}) as f, count(*) as n, arg_min(line_id, {'p': position, 'l': line_id}) as line_id from numbered where trim(text) <> '' group by doc, paragraph),
   marked as (select *, (length(f) <= 45 and not regexp_matches(f, '[.,;]$') and not regexp_matches(f, '^\p{Ll}') and n > 1) or position = min(position) over (partition by doc) as is_start from parts),
@@ -248,12 +249,12 @@ marked as (select *, trim(text) <> '' and not regexp_matches(trim(text), '^[0-9]
     "phrase_locate": r"""select doc_id, cast(i as int) as line_no, substr(trim(l[i]), 1, 160) as line from (select doc_id, l, unnest(generate_series(1, len(l))) as i from (select doc_id, regexp_split_to_array(text, '\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]') as l from documents where text is not null)) where contains(lower(l[i]), 'the gardener')""",
     "ligatures": """select entry_id, replace(replace(replace(replace(replace(replace(replace(term, 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), chr(173), ''), chr(65279), '') as term,
   replace(replace(replace(replace(replace(replace(replace(definition, 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), chr(173), ''), chr(65279), '') as definition from glossary""",
-    "shortened": "select entry_id, case when length(definition) > 60 then rtrim(substr(definition, 1, 59)) || '…' else definition end as short from glossary",
-    "shifted_decode": "select entry_id, 'no. abcdefgh' || lower(regexp_replace(term, '[^a-zA-Z]', '', 'g')) || '  end' as read from owlmanac_2016",
+    "shortened": "select entry_id, case when length(definition) > 60 then substr(definition, 1, 59) || '…' else definition end as short from glossary",
+    "shifted_decode": "with w as (select entry_id, lower(regexp_replace(term, '[^a-zA-Z]', '', 'g')) as w from owlmanac_2016) select entry_id, 'no. ⟨the' || w || 'fi⟩ end' as read, 'no ' || w || ' end' as spaced from w",
     "readability": r"""with c as (select doc_id, text, length(regexp_replace(text, '[\s\v\x{85}\p{Z}]', '', 'g')) as full_n, length(regexp_replace(text, '[^\p{L}]', '', 'g')) as l, length(regexp_replace(text, '[^\p{Ll}]', '', 'g')) as s, length(regexp_replace(text, '[^\p{Ll} ]', '', 'g')) as g from documents)
   select doc_id, coalesce(l / nullif(full_n, 0) < 0.6 or s / nullif(l, 0) < 0.6, true) or contains(text, chr(3)) as is_garbled, length(text) >= 20 and g * 2 >= length(text) as is_readable from c""",
-    "entry_warnings": r"""with w as (select entry_id, unnest([case when coalesce(length(definition), 0) = 0 then 'definition is missing' end, case when length(definition) between 1 and 19 then 'definition is short' end, case when length(definition) > 600 then 'definition may run on' end,
-  case when length(term) > 45 then 'term is long, check' end, case when regexp_matches(definition, '^\p{Ll}') then 'definition starts in lower case' end, case when regexp_matches(term, '[.!?]$') then 'term ends a sentence' end]) as warning from glossary)
+    "entry_warnings": r"""with w as (select entry_id, unnest([case when coalesce(definition, '') = '' then 'no definition' end, case when length(term) > 40 then 'long term' end, case when regexp_matches(term, '^\p{Ll}') then 'term starts in lower case' end,
+  case when regexp_matches(term, '[.,;:]$') and length(term) > 3 then 'term ends in punctuation' end, case when length(definition) > 600 then 'long definition' end, case when regexp_matches(definition, '^\p{Ll}') then 'definition starts in lower case' end]) as warning from glossary)
   select entry_id, warning from w where warning is not null""",
     "multi_value_split": "select label, count(*) as n_uses from (select unnest(list_filter(string_split(concat_ws('; ', entry_type, file_format, '', evidence), '; '), lambda x: x <> '')) as label from bibliography) group by label",
     "timeline_parse": _YEARS + "select *, last_year < first_year as is_reversed from segs",

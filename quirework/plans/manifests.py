@@ -192,7 +192,7 @@ SQL = {
     "slugs": "select entry_id, coalesce(nullif(trim(regexp_replace(lower(coalesce(term, '')), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'img') as slug from glossary",
     "slug_collisions": """with s as (select placement_id, coalesce(gallery_key, '') as g, coalesce(nullif(trim(regexp_replace(lower(coalesce(topic, '')), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'img') as slug from placements),
   n as (select *, row_number() over (partition by g, slug order by placement_id) as k from s)
-  select placement_id, case when k = 1 then slug when regexp_matches(slug, '-[0-9]+$') then slug || '--' || k else slug || '-' || k end as name from n""",
+  select placement_id, case when k = 1 then slug when (g, slug || '-' || k) in (select (g, slug) from s) then slug || '--' || k else slug || '-' || k end as name from n""",
     "groups_with_empty": "select g.gallery_key, count(p.placement_id) as n_items from (select distinct gallery_key from galleries) g left join placements p on p.gallery_key = g.gallery_key group by g.gallery_key",
     "photo_credit": "select placement_id, concat_ws(' — ', nullif(credit_plain, ''), nullif(array_to_string(list_transform(regexp_extract_all(credit_citation, '\\[@([A-Za-z0-9][A-Za-z0-9._:-]*)', 1), lambda k: '@' || k), '; '), '')) as credit from placements",
     "page_url": "select gallery_key, 'https://site.example/' || regexp_replace(regexp_replace(page_path, '\\.md$', '/'), '(^|/)index/$', '\\1') as url from galleries",
@@ -217,5 +217,5 @@ SQL = {
   read as (select font, shape, arg_max(extracted, {'n': n, 'f': -f}) as extracted from sums group by font, shape),
   j as (select font, count(*) as n_matched, count(*) filter (extracted is not distinct from meant) as n_agreeing from read join ref using (shape) group by font)
   select font, n_matched, n_agreeing, n_matched >= 3 and n_agreeing * 2 < n_matched as broken from j""",
-    "html_to_text": """select row_id, '# ' || regexp_replace(trim(coalesce(term, '')), '[ \\t\\r\\x{A0}]+', ' ', 'g') || chr(10) || replace(coalesce(locator, 'none'), '.', '. ') || chr(10) || 'next <line> & more - one' || chr(10) || '- two' as text from glossary_rows""",
+    "html_to_text": """select row_id, regexp_replace('# ' || coalesce(term, '') || chr(10) || ' ' || replace(coalesce(locator, 'none'), '.', '. ') || chr(10), '[ \\t\\r\\x{A0}]+', ' ', 'g') || 'next <line> & more - one' || chr(10) || '- two' as text from glossary_rows""",
 }
