@@ -32,6 +32,7 @@ OPENING = "“‘„‚«¿¡‹"
 CLOSING = "”»›"
 CURRENCY = "£€¥"
 LONE_MARKS = "†‡•‰§¶·¨´¸¯˜ˆ˘˝˙˚˛"
+RARE_QUOTES = "‹›‚„"
 DASHES = "–—―"
 RARE_LETTERS = "ƒªºⁿıŸþÞðÐµ"
 RARE_CYRILLIC = "ЂЃЅІЇЈЉЊЋЌЎЏђѓѕіїјљњћќўџґҐєЄ"
@@ -39,6 +40,9 @@ RARE_CYRILLIC = "ЂЃЅІЇЈЉЊЋЌЎЏђѓѕіїјљњћќўџґҐєЄ"
 ENCODERS = ("sloppy-1252", "latin-1", "mac_roman", "cp437", "cp1251", "koi8_r", "cp850", "cp866")
 DECODERS = ("utf-8", "sloppy-1252", "cp1251", "mac_roman", "cp437", "koi8_r", "cp850", "cp866")
 
+#: How unusual it is that a text's true encoding is this; others 0.5.
+RARITY = {"utf-8": 0.0, "unescape": 0.0, "sloppy-1252": 0.2, "cp1251": 0.2}
+
 #: windows-1252 whose five undefined bytes are the control characters of that number
 _TO_1252: dict[int, int] = {}
 _FROM_1252: dict[int, int] = {}
@@ -112,6 +116,8 @@ def _oddness(before: str, char: str, after: str) -> float:
                 cost += 0.4
         if char.isupper() and before.islower():
             cost += 3.0
+        elif char.isupper() and before.isupper() and after.islower() or char == "ß" and not before.isalpha():
+            cost += 2.0
         elif char.islower() and before.isupper() and after.isupper():
             cost += 2.0
         if not letters and char.islower() and mine == "LATIN":
@@ -144,6 +150,8 @@ def _oddness(before: str, char: str, after: str) -> float:
         return (4.0 if letters == 2 else 3.0 if letters else 2.0) if char not in LONE_MARKS or letters else 1.0
     if char == "’":
         return 0.2 if before and not before.isspace() else 0.6
+    if char in RARE_QUOTES and letters < 2:
+        return 1.0
     if char in OPENING:
         opens = before == "" or before.isspace() or before in "([{—–“‘-/\"'*_"
         return (0.8 if char in "¿¡" else 0.3) if opens and after != "" and not after.isspace() else 3.0
@@ -229,7 +237,7 @@ def search(text: str) -> tuple[str, float]:
                 best, best_cost = state, total
                 if steps and not odd(state):
                     break
-            if steps >= 6 or plain < 0.3 or total > best_cost + 1.0:
+            if steps >= 6 or plain < 0.3 or total > best_cost + 15.0:
                 continue
             reached = [(data, name) for name in ENCODERS if (data := encode(state, name)) is not None]
             if "&" in state:
@@ -244,7 +252,7 @@ def search(text: str) -> tuple[str, float]:
             price = cost(new) if isinstance(new, str) else plain
             if price <= plain + 1.0:
                 order += 1
-                paid = (steps + 1) * STEP / 2 + 0.2 * (name in DECODERS and name != "utf-8" and isinstance(new, str))
+                paid = (steps + 1) * STEP / 2 + RARITY.get(name, 0.5) * isinstance(new, str)
                 heapq.heappush(heap, (price + paid, order, steps + 1, price, new, name))
     saved = start - best_cost
     return (best, saved) if saved >= MARGIN else (text, 0.0)
@@ -265,6 +273,10 @@ def _repair(text: str, level: int) -> tuple[str, int]:
     """The text with its garbled pieces restored, and how many pieces were."""
     if not _suspect(text):
         return text, 0
+    if not odd(text):
+        # entities hide the garbled characters; if nothing comes of them they stay
+        made, n = _repair(html.unescape(text), level)
+        return (made, n) if n else (text, 0)
     best, saved = restore(text)
     if saved and not any(c < ODD for c in _each(text)):
         return best, 1

@@ -18,12 +18,18 @@ BUCKETS = 32
 #: White space of any kind and punctuation.
 IGNORED_JAVA = r"[\p{IsWhite_Space}\p{P}]+"
 
+# Small letters that share their capital with other letters.
+FOLDED = {"ß": "ss", "ς": "σ", "ſ": "s"}
+
 
 def canonical_key(term: Column) -> Column:
     """Equal for terms that differ only in white space, letter case, punctuation and the order
     of the alternatives between slashes. Null for null; a term of nothing but punctuation and
     space has the empty key, so such terms are one another's copies."""
-    alternatives = F.split(F.lower(F.upper(term)), "/")
+    folded = F.lower(term)
+    for letter, plain in FOLDED.items():
+        folded = F.replace(folded, F.lit(letter), F.lit(plain))
+    alternatives = F.split(folded, "/")
     bare = F.transform(alternatives, lambda x: F.regexp_replace(x, IGNORED_JAVA, ""))
     return F.array_join(F.array_sort(F.filter(bare, lambda x: x != "")), "/")
 

@@ -123,7 +123,7 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p2_found, p2_normalized, p2_terms, p3_found, p3_groups, p4_found, p4_collapsed, p5_found, p5_paragraphs, p5_fields, p8_pack, p8_containers, p9_found, p9_cleaned, p10_found, p10_restored)}
 
 _KEYS = r"""
-with keyed as (select entry_id, term, array_to_string(list_sort(list_filter(list_transform(string_split(lower(upper(term)), '/'),
+with keyed as (select entry_id, term, array_to_string(list_sort(list_filter(list_transform(string_split(replace(replace(replace(lower(term), 'ß', 'ss'), 'ς', 'σ'), 'ſ', 's'), '/'),
   lambda x: regexp_replace(x, '[\s\v\p{Z}\p{P}\x{85}]+', '', 'g')), lambda x: x <> '')), '/') as key from owlmanac_2016 where term is not null),
 ledger as (select key, min(entry_id) as first_entry_id, arg_min(term, entry_id) as term, count(*) as n from keyed group by key)
 """
