@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 ODD = 1.2
 #: What a restored piece must save, and the price of each pair of operations.
 MARGIN, STEP = 1.5, 0.4
-#: States that one search takes up at most; a search ends far sooner when nothing gets cheaper.
-MOST_STATES = 200
+#: Texts that one search takes up at most; a search ends far sooner when nothing gets cheaper.
+MOST_STATES = 60
 
 # How usual signs stand. Quotes that open and close, signs that stand free.
 OPENING = "“‘„‚«¿¡‹"
@@ -35,6 +35,7 @@ LONE_MARKS = "†‡•‰§¶·¨´¸¯˜ˆ˘˝˙˚˛"
 RARE_QUOTES = "‹›‚„"
 DASHES = "–—―"
 RARE_LETTERS = "ƒªºⁿıŸþÞðÐµ"
+VOWELS = "аеёиоуыэюяіїє"
 RARE_CYRILLIC = "ЂЃЅІЇЈЉЊЋЌЎЏђѓѕіїјљњћќўџґҐєЄ"
 
 ENCODERS = ("sloppy-1252", "latin-1", "mac_roman", "cp437", "cp1251", "koi8_r", "cp850", "cp866")
@@ -100,6 +101,10 @@ def _oddness(before: str, char: str, after: str) -> float:
         mine = script(char)
         if mine in ("CYRILLIC", "GREEK"):
             cost = 0.3 + 1.2 * (char in RARE_CYRILLIC)
+            if mine == "CYRILLIC":
+                around = [c.lower() in VOWELS for c in (before, char, after) if script(c) == mine and c not in "ьъЬЪ"]
+                like = len(around) == 3 and len({*around}) == 1
+                cost += like * (0.9 if char.isupper() and before.isupper() else 0.8)
         elif mine not in ("LATIN", "SIGN"):
             cost = 1.0
         elif code > 0x17F:
@@ -120,7 +125,9 @@ def _oddness(before: str, char: str, after: str) -> float:
             cost += 2.0
         elif char.islower() and before.isupper() and after.isupper():
             cost += 2.0
-        if not letters and char.islower() and mine == "LATIN":
+        if not letters and mine in ("CYRILLIC", "GREEK"):
+            cost += 0.8
+        elif not letters and char.islower() and mine == "LATIN":
             cost += 0.5
         if before.isdigit() and mine in ("LATIN", "GREEK"):
             cost += 1.5
@@ -231,7 +238,7 @@ def search(text: str) -> tuple[str, float]:
     order = taken = 0
     while heap and taken < MOST_STATES:
         total, _, steps, plain, state, made_by = heapq.heappop(heap)
-        taken += 1
+        taken += isinstance(state, str)
         if isinstance(state, str):
             if total < best_cost:
                 best, best_cost = state, total
@@ -253,7 +260,9 @@ def search(text: str) -> tuple[str, float]:
             if price <= plain + 1.0:
                 order += 1
                 paid = (steps + 1) * STEP / 2 + RARITY.get(name, 0.5) * isinstance(new, str)
-                heapq.heappush(heap, (price + paid, order, steps + 1, price, new, name))
+                # bytes have no look: they are decoded before any text is chosen
+                first = -1000 * isinstance(new, bytes)
+                heapq.heappush(heap, (price + paid + first, order, steps + 1, price, new, name))
     saved = start - best_cost
     return (best, saved) if saved >= MARGIN else (text, 0.0)
 
