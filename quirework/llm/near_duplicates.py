@@ -6,6 +6,10 @@ Candidates are neighbours that share a prefix in some order. How long a prefix i
 on the region: one minimum where few texts share it, up to four where many do, so stock wording
 costs little and rare wording finds all its partners. No partner or candidate list is cut.
 
+A longer prefix loses pairs, so every text that met one in some tree also goes through an exact
+join: by the prefix filter, two sets that reach the threshold share one of the first shingles of
+both, whatever the order; rare shingles come first, so few texts meet.
+
 Texts with equal shingle sets are one class from the start, so a text copied a million times is
 one row here. A region that holds a large share of a tree is spread by longer prefixes before
 the sort; which are that large is counted over all rows.
@@ -18,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +38,13 @@ REGION = 256
 #: fewer than that in a tree, so their list has a bound and is broadcast.
 HOT_SHARE = 4096
 LEAST_HOT = 4096
+#: The exact join orders shingles by counts in so many buckets, over about so many sets. Both only
+#: decide how few texts meet: any order gives the same pairs.
+COUNTED, SAMPLED = 2**20, 20_000
+#: Rows of one shingle that meet in one block, and buckets in which its rows are counted.
+BLOCK, POSTED = 1024, 2**16
+#: Up to so many ids (8 MB) are broadcast.
+BROADCAST_IDS = 1_000_000
 #: Candidates agree in at least so many of the 64 minima; at a true similarity of 0.5 fewer
 #: come once in 10^5 pairs.
 LEAST_EQUAL = 16
@@ -144,14 +156,19 @@ def neighbours(ids: np.ndarray, leaf: np.ndarray, sketches: np.ndarray) -> Itera
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows to candidate pairs; a region is held until it is whole."""
+    """Sorted rows to candidate pairs, and to each id that a prefix longer than one minimum was
+    asked of, with a null b; a region is held until it is whole."""
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         labels = np.frombuffer(b"".join(table["label"].to_pylist()), ">u4").reshape(-1, DEPTH)
         sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, FUNCTIONS)
         ids = table["id"].to_numpy()
-        for a, b in neighbours(ids, leaves(labels, table["tree"].to_numpy()), sketches):
+        leaf = leaves(labels, table["tree"].to_numpy())
+        for a, b in neighbours(ids, leaf, sketches):
             yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+        # a region of more than one minimum was cut before the sort
+        deep = np.unique(ids[(leaf % DEPTH > 0) | (pc.binary_length(table["region"]).to_numpy() > 4)])
+        yield pa.record_batch([pa.array(deep), pa.nulls(len(deep), pa.int64())], names=["a", "b"])
 
     held: pa.Table | None = None
     for batch in batches:
@@ -170,12 +187,67 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(held)
 
 
-def candidates(signatures: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of ids that the forest holds near; signatures is a written table."""
-    total = signatures.count()
-    rows = with_region(forest_rows(signatures), total)
+def prefixes(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """shingle, id, n (size of the set) and rest (its shingles from this one on) for the first
+    shingles of each set, rare ones first: as many as a set that reaches the threshold with this
+    one can't miss all of."""
+    top, bottom = threshold
+    every = max(sets.count() // SAMPLED, 1)
+    sampled = sets.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select(F.explode("shingles").alias("shingle"))
+    # at most COUNTED rows come to the driver
+    found = sampled.groupBy(F.pmod("shingle", F.lit(COUNTED)).alias("bucket")).count().toArrow()
+    counts = np.zeros(COUNTED, np.int64)
+    counts[found["bucket"].to_numpy()] = found["count"].to_numpy()
+    sent = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = pc.list_value_length(batch["shingles"]).to_numpy().astype(np.int32)
+            flat = batch["shingles"].flatten().to_numpy()
+            owner = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((flat, sent.value[flat & (COUNTED - 1)], owner))
+            rest = np.repeat(np.cumsum(n), n) - np.arange(len(flat))
+            first = np.flatnonzero(rest >= (n * np.int64(top) + bottom - 1)[owner] // bottom)
+            of = owner[first]
+            columns = [flat[order][first], batch["id"].to_numpy()[of], n[of], rest[first].astype(np.int32)]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["shingle", "id", "n", "rest"])
+
+    return sets.select("id", "shingles").mapInArrow(each, "shingle bigint, id bigint, n int, rest int")
+
+
+def overlapping(sets: DataFrame, only: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs a < b of the ids in `only`: all that reach the threshold, and others; repeated.
+
+    Two sets meet where they share a shingle of their prefixes and enough shingles follow. The
+    rows of a shingle meet in blocks of about BLOCK rows, each block with each.
+    """
+    top, bottom = threshold
+    listed = F.broadcast(only) if only.count() <= BROADCAST_IDS else only
+    posted = written(prefixes(sets.join(listed, "id", "left_semi"), threshold), "prefixes")
+    bucket = F.pmod("shingle", F.lit(POSTED))
+    # where many shingles fall in each bucket, only what stands out is cut
+    limit = max(BLOCK, 8 * posted.count() // POSTED)
+    hot = posted.groupBy(bucket.alias("bucket")).count().where(F.col("count") > limit)
+    # fewer than POSTED rows
+    hot = F.broadcast(hot.select("bucket", F.ceil(F.col("count") / limit).alias("blocks")))
+    rows = posted.withColumn("bucket", bucket).join(hot, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    rows = rows.select("shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "rest")
+    left = rows.withColumnsRenamed({"id": "a", "n": "n_a", "rest": "rest_a", "block": "block_a"})
+    right = rows.withColumnsRenamed({"id": "b", "n": "n_b", "rest": "rest_b", "block": "block_b"})
+    met = left.join(right, ["shingle", "i", "j"]).where("a < b and (i = j or block_a <> block_b)")
+    # the shingles in common are at most those that follow the first of them
+    return met.where(F.least("rest_a", "rest_b") * (top + bottom) >= (F.col("n_a") + F.col("n_b")) * top).select("a", "b")
+
+
+def candidates(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Distinct pairs a < b of ids that the forest holds near, or that may reach the threshold
+    where it asked for a longer prefix. sets is a written table."""
+    rows = with_region(forest_rows(sets.select("id", "signature", "sketch")), sets.count())
     ordered = rows.repartition("tree", "region").sortWithinPartitions("tree", "label", "id")
-    return ordered.mapInArrow(_scan, "a bigint, b bigint").distinct()
+    scanned = written(ordered.mapInArrow(_scan, "a bigint, b bigint").distinct(), "scanned")
+    deep = scanned.where("b is null").select(F.col("a").alias("id"))
+    return scanned.where("b is not null").unionByName(overlapping(sets, deep, threshold)).distinct()
 
 
 class NearDuplicates:
@@ -196,7 +268,7 @@ class NearDuplicates:
         self.members = join_keyed(known.select("id", "set_key"), self.classes, "set_key", "n", self.total).select("id", "rep", "n")
         sets = rows.join(self.classes, F.col("id") == F.col("rep"), "left_semi")
         self.sets = written(sets.select("id", "shingles", "signature", "sketch"), "sets")
-        pairs = candidates(self.sets.select("id", "signature", "sketch"))
+        pairs = candidates(self.sets, threshold)
         left = self.sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
         right = self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
         common = F.size(F.array_intersect("left", "right"))

@@ -69,6 +69,28 @@ def test_groups_join_what_pairs_join(near, texts):
     assert max(r.n_copies for r in rows) >= 60
 
 
+@pytest.fixture(scope="module")
+def variants():
+    r, base, rows = random.Random(7), [f"b{k}" for k in range(40)], set()
+    while len(rows) < 1100:
+        # runs of changed words, so that similarities lie on both sides of the threshold
+        edited, at, n = list(base), r.randrange(40), r.randrange(6, 20)
+        edited[at : at + n] = [f"x{r.randrange(10**6)}" for _ in edited[at : at + n]]
+        rows.add(" ".join(edited))
+    rows = list(enumerate(sorted(rows)))
+    return rows, similar(rows)
+
+
+@pytest.mark.parametrize("block", [1024, 200])
+def test_all_pairs_among_many_variants_of_one_text(spark, monkeypatch, variants, block):
+    monkeypatch.setattr("quirework.llm.near_duplicates.BLOCK", block, raising=False)
+    rows, true = variants
+    near = NearDuplicates(spark.createDataFrame(rows, "row long, body string"), "row", "body", 3, (1, 2))
+    found = [tuple(p) for p in near.pairs().collect()]
+    assert len(found) == len(set(found)) and set(found) <= true
+    assert len(true) > 50_000 and len(found) / len(true) >= 0.9999
+
+
 def test_empty_table(spark):
     none = NearDuplicates(spark.createDataFrame([], "row long, body string"), "row", "body", 3, (1, 2))
     assert none.pairs().count() == 0 and none.groups().count() == 0
