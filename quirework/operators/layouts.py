@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.functions.text import NUMBERED, dehyphenate, entry_warnings, indent_width, looks_like_term
+from quirework.functions.text import NUMBERED, dehyphenate, entry_warnings, indent_width, looks_like_term, shifted_decode
 from quirework.operators.ordered import next_text, running_sum
 
 #: Positions of one span: four pages of PAGE positions.
@@ -282,7 +282,17 @@ def locate(entries: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def phrase_lines(texts: DataFrame, row_id: str, text: str, phrase: str, width: int = 160) -> DataFrame:
-    """row_id, line_no (from 1) and the first characters of every line that has the phrase,
-    whatever the case."""
-    each = texts.select(row_id, F.posexplode(F.split(F.col(text), r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]")).alias("n", "line"))
-    return each.where(F.contains(F.lower("line"), F.lit(phrase.lower()))).select(row_id, (F.col("n") + 1).alias("line_no"), F.substring(F.trim("line"), 1, width).alias("line"))
+    """row_id, page, line_no and the first characters of every line that has the phrase, as it is
+    or with its shifted runs decoded, whatever the case.
+
+    Page and line count from 1, lines anew on each page. A text without form feeds has no pages:
+    page is null and the line stays as it is; else the line is decoded.
+    """
+    paged = F.contains(F.col(text), F.lit("\f"))
+    pages = texts.select(row_id, paged.alias("_paged"), F.posexplode(F.split(F.col(text), r"\f")).alias("_page", "_text"))
+    breaks = r"\r\n|[\n\r\x{0B}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
+    each = pages.select(row_id, F.when(F.col("_paged"), F.col("_page") + 1).alias("page"), F.posexplode(F.split("_text", breaks)).alias("n", "line"))
+    wanted, decoded = F.lit(phrase.lower()), shifted_decode(F.col("line"))
+    found = each.where(F.contains(F.lower("line"), wanted) | F.contains(F.lower(decoded), wanted))
+    shown = F.when(F.col("page").isNotNull(), decoded).otherwise(F.col("line"))
+    return found.select(row_id, "page", (F.col("n") + 1).alias("line_no"), F.substring(F.trim(shown), 1, width).alias("line"))

@@ -118,7 +118,9 @@ def offset_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def phrase_locate(spark: SparkSession, folder: str) -> DataFrame:
-    return L.phrase_lines(table(spark, folder, "documents"), "doc_id", "text", "the gardener")
+    """Lines with the phrase; line_no is the page where a text has form feeds."""
+    found = L.phrase_lines(table(spark, folder, "documents"), "doc_id", "text", "the gardener")
+    return found.select("doc_id", F.coalesce("page", "line_no").alias("line_no"), "line")
 
 
 def dehyphenate(spark: SparkSession, folder: str) -> DataFrame:

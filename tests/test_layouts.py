@@ -83,3 +83,11 @@ def test_timeline_block(spark):
     drawn = T.geometry(found, axis, "block").orderBy("line_no", "segment_no").collect()
     assert drawn[0].is_clipped and drawn[0].left_percent == 0 and drawn[4].dates == "2016–now"
     assert all(0 <= r.left_percent <= 100 for r in drawn)
+
+
+def test_phrase_in_shifted_lines_and_by_page(spark):
+    rows = [(1, "no\r\n The Gardener \nWKHJDUGHQHU"), (2, "a gardener\nx\fy\n see WKHJDUGHQHU\f\fgardener"), (3, "gardener\f"), (4, None), (5, "GARDENIA")]
+    found = L.phrase_lines(spark.createDataFrame(rows, "row long, body string"), "row", "body", "gardener")
+    assert sorted((r.row, r.page or 0, r.line_no, r.line) for r in found.collect()) == [
+        (1, 0, 2, "The Gardener"), (1, 0, 3, "WKHJDUGHQHU"), (2, 1, 1, "a gardener"), (2, 2, 2, "see ⟨thegardener⟩"), (2, 4, 1, "gardener"), (3, 1, 1, "gardener"),
+    ]
