@@ -73,7 +73,15 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.written_at = path
+    return made
+
+
+def discard(*written_tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing will read any more."""
+    for df in written_tables:
+        _delete(df.sparkSession, df.written_at)
 
 
 def tokenizer_dir() -> str:
