@@ -4,15 +4,19 @@ Each text is a set of shingles (runs of words); its signature is 64 minima under
 functions. Each tree of the forest is one sorted order of the signatures, led by other minima.
 Candidates are neighbours that share a prefix in some order. How long a prefix is asked depends
 on the region: one minimum where few texts share it, up to four where many do, so stock wording
-costs little and rare wording finds all its partners. No partner or candidate list is cut.
+costs little and rare wording finds all its partners.
 
 A longer prefix loses pairs, so every text that met one in some tree also goes through an exact
 join: by the prefix filter, two sets that reach the threshold share one of the first shingles of
-both, whatever the order; rare shingles come first, so few texts meet.
+both, whatever the order; rare shingles come first, so few texts meet. The same join takes what
+the sorted orders are cut at: regions that lie across two tasks, and prefixes that are whole and
+still shared by many. So no region is too large for a task and none is compared all with all.
+
+Candidates are held against bitmaps of their sets, whose difference bounds the overlap from
+above and never rejects a true pair, and then against the sets.
 
 Texts with equal shingle sets are one class from the start, so a text copied a million times is
-one row here. A region that holds a large share of a tree is spread by longer prefixes before
-the sort; which are that large is counted over all rows.
+one row here.
 """
 
 from __future__ import annotations
@@ -24,60 +28,47 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm.words import window_hashes, word_hashes, words
 from quirework.operators.skew import join_keyed
-from quirework.session import written
+from quirework.session import discard, written
 
 FUNCTIONS, TREES, DEPTH = 64, 16, 4
 #: A prefix that more rows than this share is extended by another minimum.
 REGION = 256
-#: Prefixes with more than one in so many rows of a tree are spread before the sort; there are
-#: fewer than that in a tree, so their list has a bound and is broadcast.
-HOT_SHARE = 4096
-LEAST_HOT = 4096
+#: Rows of a sorted order that a task holds together; a region of more goes to the exact join.
+HELD = 65_536
+#: 64-bit words of a set's bitmap.
+BITS = 4
 #: The exact join orders shingles by counts in so many buckets, over about so many sets. Both only
 #: decide how few texts meet: any order gives the same pairs.
 COUNTED, SAMPLED = 2**20, 20_000
 #: Rows of one shingle that meet in one block, and buckets in which its rows are counted.
 BLOCK, POSTED = 1024, 2**16
-#: Up to so many ids (8 MB) are broadcast.
+#: Up to so many ids or bitmaps (48 MB) are broadcast.
 BROADCAST_IDS = 1_000_000
-#: Candidates agree in at least so many of the 64 minima; at a true similarity of 0.5 fewer
-#: come once in 10^5 pairs.
-LEAST_EQUAL = 16
 
 _random = np.random.Generator(np.random.PCG64(20160))
 _MULTIPLY = _random.integers(1, 2**63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _random.integers(0, 2**63, FUNCTIONS, dtype=np.uint64)
 
-SIGNED = "shingles array<bigint>, set_key bigint, signature binary, sketch binary"
+_BIT_COLUMNS = [f"b{k}" for k in range(BITS)]
+SIGNED = "shingles array<bigint>, set_key bigint, n int, " + ", ".join(f"{b} bigint" for b in _BIT_COLUMNS)
 
 
 def signed(texts: pd.Series, size: int) -> pd.DataFrame:
-    """Of each text: its sorted distinct shingle hashes, their key, the signature (64 minima of
-    four bytes, big-endian so that it sorts) and the sketch (their low bytes)."""
+    """Of each text: its sorted distinct shingle hashes, their key, number and bitmap."""
     sets = [np.unique(window_hashes(word_hashes(words(t)), size)) for t in texts]
-    full = [i for i, s in enumerate(sets) if len(s)]
-    out = {"shingles": [s.view(np.int64) for s in sets], "set_key": [None] * len(sets), "signature": [None] * len(sets), "sketch": [None] * len(sets)}
-    if full:
-        flat = np.concatenate([sets[i] for i in full])
-        starts = np.cumsum([0] + [len(sets[i]) for i in full[:-1]])
-        minima = np.empty((FUNCTIONS, len(full)), np.uint32)
-        with np.errstate(over="ignore"):
-            for f in range(FUNCTIONS):
-                minima[f] = np.minimum.reduceat(((flat * _MULTIPLY[f] + _ADD[f]) >> np.uint64(32)).astype(np.uint32), starts)
-        rows = np.ascontiguousarray(minima.T)
-        big, low = rows.astype(">u4"), (rows & 0xFF).astype(np.uint8)
-        for k, i in enumerate(full):
-            out["set_key"][i] = xxhash.xxh64_intdigest(sets[i].tobytes()) - 2**63
-            out["signature"][i] = big[k].tobytes()
-            out["sketch"][i] = low[k].tobytes()
-    frame = pd.DataFrame({"shingles": pd.Series(out["shingles"], dtype=object), "signature": pd.Series(out["signature"], dtype=object), "sketch": pd.Series(out["sketch"], dtype=object)})
-    frame.insert(1, "set_key", pd.array(out["set_key"], dtype="Int64"))
-    return frame
+    n = np.array([len(s) for s in sets], np.int32)
+    keys = [xxhash.xxh64_intdigest(s.tobytes()) - 2**63 if len(s) else None for s in sets]
+    flat = np.concatenate([np.empty(0, np.uint64), *sets])
+    bit = (flat >> np.uint64(32)) % np.uint64(64 * BITS)
+    bits = np.zeros((len(sets), BITS), np.uint64)
+    np.bitwise_or.at(bits, (np.repeat(np.arange(len(sets)), n), (bit // np.uint64(64)).astype(np.int64)), np.uint64(1) << (bit % np.uint64(64)))
+    frame = pd.DataFrame({"shingles": pd.Series([s.view(np.int64) for s in sets], dtype=object), "set_key": pd.array(keys, dtype="Int64"), "n": n})
+    return frame.assign(**{b: bits[:, k].view(np.int64) for k, b in enumerate(_BIT_COLUMNS)})
 
 
 def sign(texts: DataFrame, row_id: str, text: str, shingle_words: int) -> DataFrame:
@@ -93,39 +84,42 @@ def sign(texts: DataFrame, row_id: str, text: str, shingle_words: int) -> DataFr
     return texts.select(F.col(row_id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInPandas(each, "id bigint, " + SIGNED)
 
 
-def _prefix(depth: int):
-    return F.substring("label", 1, 4 * depth)
+def minima(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The FUNCTIONS minima of each set, none of them empty, a row a set."""
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    out = np.empty((FUNCTIONS, len(sizes)), np.uint32)
+    with np.errstate(over="ignore"):
+        for f in range(FUNCTIONS):
+            out[f] = np.minimum.reduceat(((flat * _MULTIPLY[f] + _ADD[f]) >> np.uint64(32)).astype(np.uint32), starts)
+    return np.ascontiguousarray(out.T)
 
 
-def forest_rows(signatures: DataFrame) -> DataFrame:
-    """tree, label (the minima that lead the tree's order), id and sketch: a row for each tree."""
-    labels = F.array(*(F.substring("signature", 1 + 4 * DEPTH * t, 4 * DEPTH) for t in range(TREES)))
-    return signatures.select("id", "sketch", F.posexplode(labels).alias("tree", "label"))
+FOREST = "tree int, label binary, id bigint, n int, x bigint, y bigint"
 
 
-def with_region(rows: DataFrame, total: int) -> DataFrame:
-    """Adds region, the prefix whose rows one task sorts: one minimum, or more where a prefix is
-    hot. Counts are over all rows and taken before the shuffle."""
-    limit = max(total // HOT_SHARE, LEAST_HOT)
-    region, left = F.substring("label", 1, 4), rows
-    for depth in range(1, DEPTH):
-        if depth > 1 and not more:
-            break
-        hot = left.groupBy("tree", _prefix(depth).alias(f"hot_{depth}")).count().where(F.col("count") > limit).drop("count")
-        hot = written(hot, f"hot-{depth}")
-        more = hot.limit(1).count() > 0
-        if more:
-            on = (rows["tree"] == F.col("hot_tree")) & (F.substring(rows["label"], 1, 4 * depth) == F.col(f"hot_{depth}"))
-            listed = F.broadcast(hot.withColumnRenamed("tree", "hot_tree"))
-            left = rows.join(listed, on, "left_semi")
-            rows = rows.join(listed, on, "left").drop("hot_tree")
-            region = F.when(F.col(f"hot_{depth}").isNotNull(), _prefix(depth + 1)).otherwise(region)
-    return rows.select("tree", region.alias("region"), "label", "id", "sketch")
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets to a row for each tree: the label is the minima that lead the tree's order, big-endian
+    so that it sorts; x and y are the bitmap folded in two words."""
+    names = [c.split()[0] for c in FOREST.split(", ")]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = batch["n"].to_numpy(zero_copy_only=False)
+        found = minima(batch["shingles"].flatten().to_numpy().view(np.uint64), sizes).astype(">u4")
+        bits = [batch[b].to_numpy(zero_copy_only=False) for b in _BIT_COLUMNS]
+        folded = [np.bitwise_or.reduce(bits[k::2]) for k in (0, 1)]
+        width, offsets = 4 * DEPTH, np.arange(0, len(sizes) + 1, dtype=np.int32) * 4 * DEPTH
+        for tree in range(TREES):
+            label = np.ascontiguousarray(found[:, DEPTH * tree : DEPTH * (tree + 1)]).tobytes()
+            assert len(label) == width * len(sizes)
+            labels = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(label)])
+            columns = [pa.array(np.full(len(sizes), tree, np.int32)), labels, batch["id"], pa.array(sizes.astype(np.int32)), *map(pa.array, folded)]
+            yield pa.record_batch(columns, names=names)
 
 
 def leaves(labels: np.ndarray, trees: np.ndarray, most: int = REGION) -> np.ndarray:
-    """The leaf of each row of a sorted run: the shortest prefix that at most `most` rows share,
-    else the whole label."""
+    """The leaf of each row of a sorted run: the shortest prefix that at most `most` rows share.
+    Where even the whole label is shared by more, each row is a leaf of its own (below 0)."""
     n = len(labels)
     leaf = np.full(n, -1, np.int64)
     new = np.empty(n, bool)
@@ -133,58 +127,76 @@ def leaves(labels: np.ndarray, trees: np.ndarray, most: int = REGION) -> np.ndar
     for depth in range(labels.shape[1]):
         new[1:] |= labels[1:, depth] != labels[:-1, depth]
         run = np.cumsum(new) - 1
-        small = np.bincount(run)[run] <= most
-        if depth == labels.shape[1] - 1:
-            small[:] = True
-        fits = small & (leaf < 0)
+        fits = (np.bincount(run)[run] <= most) & (leaf < 0)
         leaf[fits] = run[fits] * DEPTH + depth
+    alone = leaf < 0
+    leaf[alone] = -1 - np.arange(alone.sum())
     return leaf
 
 
-def neighbours(ids: np.ndarray, leaf: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of one leaf whose sketches agree enough, by their distance in the order."""
+def most_common(n_a: np.ndarray, n_b: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """The most shingles that two sets can have in common, given the bits in which they differ."""
+    return np.minimum(np.minimum(n_a, n_b), (n_a + n_b - differ) // 2)
+
+
+def neighbours(ids: np.ndarray, leaf: np.ndarray, n: np.ndarray, bits: np.ndarray, threshold: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of one leaf that their bitmaps allow, by their distance in the order."""
+    top, bottom = threshold
     at, distance = np.arange(len(ids)), 1
     while len(at):
         at = at[at + distance < len(ids)]
         at = at[leaf[at] == leaf[at + distance]]
-        for part in np.array_split(at, max(1, len(at) // 50_000)):
-            equal = (sketches[part] == sketches[part + distance]).sum(axis=1)
-            near = part[equal >= LEAST_EQUAL]
-            if len(near):
-                yield np.minimum(ids[near], ids[near + distance]), np.maximum(ids[near], ids[near + distance])
+        for a in np.array_split(at, max(1, len(at) // 50_000)):
+            b = a + distance
+            common = most_common(n[a], n[b], np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64))
+            near = common * (top + bottom) >= (n[a] + n[b]) * top
+            a, b = ids[a[near]], ids[b[near]]
+            if len(a):
+                yield np.minimum(a, b), np.maximum(a, b)
         distance += 1
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows to candidate pairs, and to each id that a prefix longer than one minimum was
-    asked of, with a null b; a region is held until it is whole."""
+def _scan(threshold: tuple[int, int]):
+    """Sorted rows to candidate pairs, and to each id that goes to the exact join, with a null b:
+    those a prefix longer than one minimum was asked of, and those of a region (one minimum) that
+    lies across two tasks or has more than HELD rows. Repeats are dropped in each run."""
 
-    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def pairs(table: pa.Table, cut_first: bool, cut_last: bool) -> Iterator[pa.RecordBatch]:
         labels = np.frombuffer(b"".join(table["label"].to_pylist()), ">u4").reshape(-1, DEPTH)
-        sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, FUNCTIONS)
-        ids = table["id"].to_numpy()
-        leaf = leaves(labels, table["tree"].to_numpy())
-        for a, b in neighbours(ids, leaf, sketches):
+        trees, ids, n = (table[c].to_numpy() for c in ("tree", "id", "n"))
+        bits = np.stack([table[c].to_numpy().view(np.uint64) for c in ("x", "y")], axis=1)
+        leaf = leaves(labels, trees)
+        deep = (leaf % DEPTH > 0) | (leaf < 0)
+        same = lambda k: (trees == trees[k]) & (labels[:, 0] == labels[k, 0])
+        if cut_first:
+            deep |= same(0)
+        if cut_last:
+            deep |= same(-1)
+        for a, b in neighbours(ids, leaf, n.astype(np.int64), bits, threshold):
             yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
-        # a region of more than one minimum was cut before the sort
-        deep = np.unique(ids[(leaf % DEPTH > 0) | (pc.binary_length(table["region"]).to_numpy() > 4)])
+        deep = np.unique(ids[deep])
         yield pa.record_batch([pa.array(deep), pa.nulls(len(deep), pa.int64())], names=["a", "b"])
 
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = pa.Table.from_batches([batch])
-        held = now if held is None else pa.concat_tables([held, now])
-        last = (held["tree"][-1].as_py(), held["region"][-1].as_py())
-        keep = held.num_rows
-        while keep and (held["tree"][keep - 1].as_py(), held["region"][keep - 1].as_py()) == last:
-            keep -= 1
-        if keep:
-            yield from pairs(held.slice(0, keep))
-            held = held.slice(keep)
-    if held is not None:
-        yield from pairs(held)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows, cut = 0, True
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows <= HELD:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            last = table["tree"][-1].as_py(), table["label"][-1].as_py()[:4]
+            keep = rows
+            while keep and (table["tree"][keep - 1].as_py(), table["label"][keep - 1].as_py()[:4]) == last:
+                keep -= 1
+            yield from pairs(table.slice(0, keep or rows), cut, not keep)
+            cut = not keep
+            held, rows = (table.slice(keep).to_batches(), rows - keep) if keep else ([], 0)
+        if rows:
+            yield from pairs(pa.Table.from_batches(held).combine_chunks(), cut, True)
+
+    return task
 
 
 def prefixes(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -237,17 +249,39 @@ def overlapping(sets: DataFrame, only: DataFrame, threshold: tuple[int, int]) ->
     right = rows.withColumnsRenamed({"id": "b", "n": "n_b", "rest": "rest_b", "block": "block_b"})
     met = left.join(right, ["shingle", "i", "j"]).where("a < b and (i = j or block_a <> block_b)")
     # the shingles in common are at most those that follow the first of them
-    return met.where(F.least("rest_a", "rest_b") * (top + bottom) >= (F.col("n_a") + F.col("n_b")) * top).select("a", "b")
+    return met.where(F.least("rest_a", "rest_b") * (top + bottom) >= (F.col("n_a") + F.col("n_b")) * top).select("a", "b"), posted
 
 
 def candidates(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Distinct pairs a < b of ids that the forest holds near, or that may reach the threshold
-    where it asked for a longer prefix. sets is a written table."""
-    rows = with_region(forest_rows(sets.select("id", "signature", "sketch")), sets.count())
-    ordered = rows.repartition("tree", "region").sortWithinPartitions("tree", "label", "id")
-    scanned = written(ordered.mapInArrow(_scan, "a bigint, b bigint").distinct(), "scanned")
+    where it asked for a longer prefix. Each sorted order is cut in even ranges, so no task has
+    more of a common prefix than of a rare one."""
+    rows = sets.select("id", "shingles", "n", *_BIT_COLUMNS).mapInArrow(_forest, FOREST)
+    ordered = rows.repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id")
+    scanned = written(ordered.mapInArrow(_scan(threshold), "a bigint, b bigint").distinct(), "scanned")
     deep = scanned.where("b is null").select(F.col("a").alias("id"))
-    return scanned.where("b is not null").unionByName(overlapping(sets, deep, threshold)).distinct()
+    met, posted = overlapping(sets, deep, threshold)
+    found = scanned.where("b is not null").unionByName(met).distinct()
+    allowed = written(within_bitmaps(found, sets, threshold), "allowed")
+    discard(scanned, posted)
+    return allowed
+
+
+def within_bitmaps(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs whose bitmaps allow them to reach the threshold; none that does is lost. As many
+    shingles are in one set alone as bits differ, at least."""
+    top, bottom = threshold
+    bits = sets.select("id", "n", *_BIT_COLUMNS)
+    if bits.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        bits = F.broadcast(bits)
+    side = lambda name: bits.select(*(F.col(c).alias(f"{c}_{name}" if c != "id" else name) for c in bits.columns))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    differ: Column = F.lit(0)
+    for b in _BIT_COLUMNS:
+        differ = differ + F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b")))
+    total = F.col("n_a") + F.col("n_b")
+    common = F.least("n_a", "n_b", F.floor((total - differ) / 2))
+    return both.where(common * (top + bottom) >= total * top).select("a", "b")
 
 
 class NearDuplicates:
@@ -260,22 +294,31 @@ class NearDuplicates:
 
     def __init__(self, texts: DataFrame, row_id: str, text: str, shingle_words: int, threshold: tuple[int, int]):
         rows = written(sign(texts, row_id, text, shingle_words), "signed")
-        known = rows.where("set_key is not null")
-        self.bare = rows.where("set_key is null").select("id")
+        keyed = written(rows.select("id", "set_key"), "keyed")
+        known = keyed.where("set_key is not null")
+        self.bare = keyed.where("set_key is null").select("id")
         classes = known.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
         self.classes = written(classes, "classes")
         self.total = known.count()
-        self.members = join_keyed(known.select("id", "set_key"), self.classes, "set_key", "n", self.total).select("id", "rep", "n")
-        sets = rows.join(self.classes, F.col("id") == F.col("rep"), "left_semi")
-        self.sets = written(sets.select("id", "shingles", "signature", "sketch"), "sets")
-        pairs = candidates(self.sets, threshold)
-        left = self.sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
-        right = self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
+        self.members = join_keyed(known, self.classes, "set_key", "n", self.total).select("id", "rep", "n")
+        copies = self.members.where("id <> rep").select("id")
+        if copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+            sets = rows.where("set_key is not null").join(F.broadcast(copies), "id", "left_anti")
+            stored = rows
+        else:
+            # many copies: the sets without them are worth a table of their own
+            stored = sets = written(rows.where("set_key is not null").join(copies, "id", "left_anti"), "sets")
+            discard(rows)
+        pairs = candidates(sets, threshold)
+        near = F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS else pairs
+        left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
+        right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
         common = F.size(F.array_intersect("left", "right"))
-        judged = pairs.join(left, "a").join(right, "b").withColumn("common", common)
+        judged = left.join(near, "a").join(right, "b").withColumn("common", common)
         judged = judged.withColumn("both", F.size("left") + F.size("right") - F.col("common"))
         top, bottom = threshold
         self.links = written(judged.where(F.col("common") * bottom >= F.col("both") * top).select("a", "b", "common", "both"), "links")
+        discard(stored, pairs)
 
     def pairs(self) -> DataFrame:
         """Every pair of rows, a < b, whose similarity reaches the threshold: the links between
@@ -316,7 +359,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             around = edges.select(F.col("u").alias("k"), F.col("v").alias("w")).unionByName(edges.select(F.col("v").alias("k"), F.col("u").alias("w")))
         else:
             around = edges.select(F.greatest("u", "v").alias("k"), F.least("u", "v").alias("w"))
-        least = written(around.groupBy("k").agg(F.min("w").alias("m"), F.count("*").alias("n")), "least")
+        least = kept(around.groupBy("k").agg(F.min("w").alias("m"), F.count("*").alias("n")), "least")
         least = least.withColumn("m", F.least("m", "k"))
         total = least.agg(F.sum("n")).collect()[0][0] or 0
         joined = join_keyed(around, least, "k", "n", total)
@@ -326,10 +369,18 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             made = joined.select(F.col("w").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
         return made.where("u <> v").distinct()
 
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    tables: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        tables.append(written(df, name))
+        return tables[-1]
+
+    edges = kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     for _ in range(most_rounds):
-        edges = written(star(star(edges, True), False), "edges")
+        edges = kept(star(star(edges, True), False), "edges")
+        discard(*tables[:-1])
+        del tables[:-1]
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
         if state == before:
             break

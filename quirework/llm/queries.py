@@ -144,6 +144,14 @@ ew as (select item_id, array_to_string(w[i:i+11], ' ') as g from (select item_id
 
 SQL = {
     "p3_found": _SHINGLES + "select a as entry_id_a, b as entry_id_b from common join sizes x on x.entry_id = a join sizes y on y.entry_id = b where 3 * k >= x.n + y.n",
+    "p3_groups": "with recursive" + _SHINGLES.strip()[4:] + """, sets as (select entry_id, string_agg(s, '|' order by s) as k from shingles group by entry_id),
+classes as (select entry_id, min(entry_id) over (partition by k) as rep, count(*) over (partition by k) as n from sets),
+links as (select a, b from common join sizes x on x.entry_id = a join sizes y on y.entry_id = b join classes p on p.entry_id = a join classes q on q.entry_id = b where 3 * k >= x.n + y.n and p.rep = a and q.rep = b),
+ends as (select a as u, b as v from links union all select b, a from links),
+reach(node, root) as (select rep, rep from classes where entry_id = rep union select e.v, r.root from reach r join ends e on e.u = r.node),
+roots as (select node, min(root) as root from reach group by node), degrees as (select u, count(*) as d from ends group by u)
+select entry_id, rep, root as group_id, n as n_copies, coalesce(d, 0) as n_links from classes join roots on node = rep left join degrees on u = rep
+union all select entry_id, entry_id, entry_id, 1, 0 from owlmanac_2016 where entry_id not in (select entry_id from sets)""",
     "p9_found": _WINDOWS + "select distinct doc_id, item_id from dw join ew using (g)",
     "p4_found": _KEYS + "select first_entry_id, entry_id as copy_entry_id from keyed join ledger using (key) where entry_id <> first_entry_id",
     "p4_collapsed": _KEYS + "select first_entry_id, term, n as n_copies from ledger",

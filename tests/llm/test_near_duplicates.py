@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from quirework.llm.near_duplicates import NearDuplicates, components, leaves
+from quirework.llm.near_duplicates import NearDuplicates, components, leaves, most_common
 from quirework.llm.words import WORD, words
 
 
@@ -91,6 +91,36 @@ def test_all_pairs_among_many_variants_of_one_text(spark, monkeypatch, variants,
     assert len(true) > 50_000 and len(found) / len(true) >= 0.9999
 
 
+@pytest.mark.parametrize(("stock", "own", "rows"), [(8, 4, 1000), (20, 10, 600)])
+def test_stock_wording_that_all_rows_share(spark, stock, own, rows):
+    texts = [(i, " ".join([f"s{k}" for k in range(stock)] + [f"w{i}x{k}" for k in range(own)])) for i in range(rows)]
+    one, other = (shingles(texts[k][1]) for k in (0, 1))
+    threshold = (len(one & other), len(one | other))
+    near = NearDuplicates(spark.createDataFrame(texts, "row long, body string"), "row", "body", 3, threshold)
+    assert near.links.count() == rows * (rows - 1) // 2
+
+
+def test_a_region_too_large_for_a_task(spark, monkeypatch, texts):
+    monkeypatch.setattr("quirework.llm.near_duplicates.HELD", 40)
+    monkeypatch.setattr("quirework.llm.near_duplicates.REGION", 4)
+    near = NearDuplicates(spark.createDataFrame(texts, "row long, body string"), "row", "body", 3, (1, 2))
+    assert {tuple(r) for r in near.pairs().collect()} == similar(texts)
+
+
+def test_many_copies(spark, monkeypatch, texts):
+    monkeypatch.setattr("quirework.llm.near_duplicates.BROADCAST_IDS", 3)
+    near = NearDuplicates(spark.createDataFrame(texts, "row long, body string"), "row", "body", 3, (1, 2))
+    assert {tuple(r) for r in near.pairs().collect()} == similar(texts)
+
+
+def test_bitmaps_never_reject_a_true_pair():
+    r = np.random.default_rng(2)
+    for _ in range(300):
+        a, b = (set(r.integers(0, 60, r.integers(1, 50)).tolist()) for _ in range(2))
+        differ = len({x % 16 for x in a} ^ {x % 16 for x in b})
+        assert most_common(np.array([len(a)]), np.array([len(b)]), np.array([differ]))[0] >= len(a & b)
+
+
 def test_empty_table(spark):
     none = NearDuplicates(spark.createDataFrame([], "row long, body string"), "row", "body", 3, (1, 2))
     assert none.pairs().count() == 0 and none.groups().count() == 0
