@@ -1,13 +1,13 @@
 """Evaluation texts that leak into a corpus: a broadcast set of hashed n-grams of the test items,
 looked up in every word window of every document, each hit verified word by word.
 
-The set is broadcast in blocks of items whose n-grams have a fixed bound together, each block
-against all documents; a normal suite is one block.
+The set is broadcast in blocks whose n-grams have a fixed bound together, each block against all
+documents; a normal suite is one block. What the blocks find is put together by document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm.words import WORD, window_hashes, words
+from quirework.session import written
 
 #: Consecutive words in common that make a leak.
 WINDOW = 12
 #: N-grams of one broadcast block: about 100 MB in each Python worker at most.
 BLOCK_WINDOWS = 1_000_000
+#: Leaking documents whose word positions are broadcast; more are joined by a shuffle.
+BROADCAST_DOCUMENTS = 20_000
 
 
 class Block:
@@ -74,25 +77,33 @@ class Block:
 
 
 def blocks(items: DataFrame, item_id: str, text: str, window: int) -> Iterator[list[tuple[int, str]]]:
-    """The test items in blocks of at most BLOCK_WINDOWS n-grams (an item that alone has more is
-    a block). Items come to the driver one block at a time."""
+    """The test items in blocks of at most BLOCK_WINDOWS n-grams. An item that alone has more comes
+    in pieces that overlap by less than a window, so each of its n-grams is in one piece. Items
+    come to the driver one partition at a time."""
     held, size = [], 0
     rows = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(text).alias("t")).where("t is not null and i is not null")
     for row in rows.toLocalIterator():
-        n = len(row["t"]) // 2 + 1
-        if held and size + n > BLOCK_WINDOWS:
-            yield held
-            held, size = [], 0
-        held.append((row["i"], row["t"]))
-        size += n
+        pieces = [row["t"]]
+        if len(row["t"]) // 2 + 1 > BLOCK_WINDOWS:
+            found = words(row["t"])
+            pieces = [" ".join(found[k : k + BLOCK_WINDOWS + window - 1]) for k in range(0, max(len(found) - window + 1, 1), BLOCK_WINDOWS)]
+        for piece in pieces:
+            n = min(len(piece) // 2 + 1, BLOCK_WINDOWS)
+            if held and size + n > BLOCK_WINDOWS:
+                yield held
+                held, size = [], 0
+            held.append((row["i"], piece))
+            size += n
     if held:
         yield held
 
 
-def _scan(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, window: int, schema: str, make: Callable) -> DataFrame:
+def _scan(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, window: int, schema: str, make: Callable) -> tuple[DataFrame, int]:
+    """What `make` finds in each frame of documents (id, text, text_key) with each block, and the
+    number of blocks."""
     spark = documents.sparkSession
-    rows = documents.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text")).where("text is not null")
-    parts = []
+    rows = keyed(documents, doc_id, text).where("text is not null")
+    whole, n = spark.createDataFrame([], schema), 0
     for held in blocks(items, item_id, item_text, window):
         sent = spark.sparkContext.broadcast((held, window))
 
@@ -101,13 +112,14 @@ def _scan(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_i
             for frame in frames:
                 yield make(block, frame)
 
-        parts.append(rows.mapInPandas(search, schema))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+        part = rows.mapInPandas(search, schema)
+        whole, n = part if not n else whole.unionByName(part), n + 1
+    return whole, n
+
+
+def keyed(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """id, text and text_key, by which two texts that come with one id are told apart."""
+    return documents.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key"))
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, window: int = WINDOW) -> DataFrame:
@@ -115,44 +127,56 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_i
     consecutive words in common.
 
     Items under `window` words, and null texts of either side, match nothing. Repeated documents
-    or items each give their own rows; no documents or no items give none. One pass over the
-    corpus for each block of items, no shuffle.
+    or items each give their own rows (where the items fill several blocks, rows that are wholly
+    equal count together); no documents or no items give none. One pass over the corpus for each
+    block of items; no shuffle of texts.
     """
 
     def make(block: Block, frame: pd.DataFrame) -> pd.DataFrame:
         counted: dict[tuple[int, int], int] = {}
         for row, item, _ in block.hits(frame["text"].tolist()):
             counted[row, item] = counted.get((row, item), 0) + 1
-        ids = frame["id"].tolist()
-        return pd.DataFrame([(ids[r], block.items[i][0], n) for (r, i), n in counted.items()], columns=["id", "item_id", "n_windows"])
+        ids, keys = frame["id"].tolist(), frame["text_key"].tolist()
+        return pd.DataFrame([(ids[r], keys[r], block.items[i][0], n) for (r, i), n in counted.items()], columns=["id", "text_key", "item_id", "n_windows"])
 
-    found = _scan(documents, items, doc_id, text, item_id, item_text, window, "id bigint, item_id bigint, n_windows bigint", make)
-    return found.withColumnsRenamed({"id": doc_id, "item_id": item_id})
+    found, n = _scan(documents, items, doc_id, text, item_id, item_text, window, "id bigint, text_key bigint, item_id bigint, n_windows bigint", make)
+    if n > 1:
+        found = found.groupBy("id", "text_key", "item_id").agg(F.sum("n_windows").alias("n_windows"))
+    return found.select(F.col("id").alias(doc_id), F.col("item_id").alias(item_id), "n_windows")
 
 
 def without_leaks(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, window: int = WINDOW) -> DataFrame:
-    """The documents with leaks: doc_id, n_removed (words of leaked spans) and cleaned, the text
-    without those spans. With several blocks of items a document comes once for each block that
-    it leaks from."""
+    """The documents with leaks, a row each: doc_id, n_removed (words of leaked spans) and cleaned,
+    the text without those spans, whichever blocks of items they come from.
+
+    The blocks give word positions only, put together by document; the texts of leaking documents
+    are then read again and cut once.
+    """
 
     def make(block: Block, frame: pd.DataFrame) -> pd.DataFrame:
-        texts = frame["text"].tolist()
-        spans: dict[int, set[int]] = {}
-        for row, _, at in block.hits(texts):
-            spans.setdefault(row, set()).update(range(at, at + block.window))
-        out = []
-        for row, taken in spans.items():
-            lower = texts[row].lower()
-            # where lower-casing changes a text's length, its lower case is what is cut
-            base = texts[row] if len(lower) == len(texts[row]) else lower
-            places = [m.span() for m in WORD.finditer(lower)]
-            kept, at = [], 0
-            for k in sorted(taken):
-                if k - 1 not in taken:
-                    kept.append(base[at : places[k][0]])
-                at = places[k][1]
-            out.append((frame["id"].iloc[row], len(taken), "".join([*kept, base[at:]])))
-        return pd.DataFrame(out, columns=["id", "n_removed", "cleaned"])
-
-    found = _scan(documents, items, doc_id, text, item_id, item_text, window, "id bigint, n_removed bigint, cleaned string", make)
-    return found.withColumnRenamed("id", doc_id)
+        starts = {(row, at) for row, _, at in block.hits(frame["text"].tolist())}
+        ids, keys = frame["id"].tolist(), frame["text_key"].tolist()
+        return pd.DataFrame([(ids[r], keys[r], at) for r, at in starts], columns=["id", "text_key", "at"])
+
+    found, _ = _scan(documents, items, doc_id, text, item_id, item_text, window, "id bigint, text_key bigint, at bigint", make)
+    # a document has at most as many starts as words
+    starts = written(found.groupBy("id", "text_key").agg(F.collect_set("at").alias("starts")), "leaked-spans")
+    near = F.broadcast(starts) if starts.count() <= BROADCAST_DOCUMENTS else starts
+    cut = F.pandas_udf(lambda texts, at: pd.DataFrame([without_windows(t, a, window) for t, a in zip(texts, at)], columns=["n_removed", "cleaned"]), "n_removed bigint, cleaned string")
+    both = keyed(documents, doc_id, text).join(near, ["id", "text_key"]).withColumn("made", cut("text", "starts"))
+    return both.select(F.col("id").alias(doc_id), "made.n_removed", "made.cleaned")
+
+
+def without_windows(text: str, starts: Iterable[int], window: int) -> tuple[int, str]:
+    """How many words the windows that begin at these words cover, and the text without them."""
+    taken = {k for at in starts for k in range(at, at + window)}
+    lower = text.lower()
+    # where lower-casing changes a text's length, its lower case is what is cut
+    base = text if len(lower) == len(text) else lower
+    places = [m.span() for m in WORD.finditer(lower)]
+    kept, at = [], 0
+    for k in sorted(taken):
+        if k - 1 not in taken:
+            kept.append(base[at : places[k][0]])
+        at = places[k][1]
+    return len(taken), "".join([*kept, base[at:]])

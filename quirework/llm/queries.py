@@ -153,6 +153,10 @@ roots as (select node, min(root) as root from reach group by node), degrees as (
 select entry_id, rep, root as group_id, n as n_copies, coalesce(d, 0) as n_links from classes join roots on node = rep left join degrees on u = rep
 union all select entry_id, entry_id, entry_id, 1, 0 from owlmanac_2016 where entry_id not in (select entry_id from sets)""",
     "p9_found": _WINDOWS + "select distinct doc_id, item_id from dw join ew using (g)",
+    "p9_cleaned": _WINDOWS.replace("select doc_id, array_to_string(w[i:i+11]", "select doc_id, i, array_to_string(w[i:i+11]") + r""", taken as (select distinct doc_id, unnest(generate_series(i, i + 11)) as k from (select distinct doc_id, i from dw join ew using (g))),
+  t as (select doc_id, list(k) as ks, count(*) as n_removed from taken group by doc_id),
+  p as (select doc_id, n_removed, ks, regexp_extract_all(text, '[\p{L}\p{N}]+') as w, regexp_split_to_array(text, '[\p{L}\p{N}]+') as g from documents join t using (doc_id))
+  select doc_id, n_removed, array_to_string(list_transform(generate_series(1, len(w)), lambda i: case when not list_contains(ks, i) then g[i] || w[i] when list_contains(ks, i - 1) then '' else g[i] end), '') || g[len(w) + 1] as cleaned from p""",
     "p4_found": _KEYS + "select first_entry_id, entry_id as copy_entry_id from keyed join ledger using (key) where entry_id <> first_entry_id",
     "p4_collapsed": _KEYS + "select first_entry_id, term, n as n_copies from ledger",
 }

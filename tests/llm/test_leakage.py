@@ -34,21 +34,30 @@ def test_against_brute_force_in_one_and_many_blocks(spark, monkeypatch):
     documents, items = tables(1)
     true = brute(documents, items)
     assert true
-    for most in (10**6, 40):
+    for most in (10**6, 40, 5):
         monkeypatch.setattr(leakage, "BLOCK_WINDOWS", most)
         found = leakage.leaks(*frames(spark, documents, items), "doc", "body", "item", "body").collect()
         assert sorted((r.doc, r.item) for r in found) == sorted(true)
 
 
-def test_cleaned_documents_leak_no_more(spark):
+def test_cleaned_documents_leak_no_more(spark, monkeypatch):
     documents, items = tables(2)
     docs, tests = frames(spark, documents, items)
-    cleaned = leakage.without_leaks(docs, tests, "doc", "body", "item", "body")
-    rows = [(r.doc, r.cleaned) for r in cleaned.collect()]
-    assert {d for d, _ in rows} == {d for d, _ in brute(documents, items)}
-    # a cut can bring words together anew, but no span of the original is left
-    before = dict(documents)
-    assert all(len(c) < len(before[d]) for d, c in rows)
+    before, size = dict(documents), 12
+    true = {}
+    for d, text in documents:
+        found = WORD.findall((text or "").lower())
+        grams = {tuple(w[k : k + size]) for _, t in items for w in [WORD.findall((t or "").lower())] for k in range(len(w) - size + 1)}
+        taken = {k + n for k in range(len(found) - size + 1) if tuple(found[k : k + size]) in grams for n in range(size)}
+        if taken:
+            true[d] = [w for k, w in enumerate(found) if k not in taken]
+    # one block, many, and blocks smaller than an item
+    for most in (10**6, 40, 5):
+        monkeypatch.setattr(leakage, "BLOCK_WINDOWS", most)
+        rows = leakage.without_leaks(docs, tests, "doc", "body", "item", "body").collect()
+        assert len(rows) == len(true)
+        assert {r.doc: WORD.findall(r.cleaned.lower()) for r in rows} == true
+        assert all(r.n_removed == len(WORD.findall(before[r.doc])) - len(true[r.doc]) for r in rows)
 
 
 def test_empty_tables(spark):
