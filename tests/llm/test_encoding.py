@@ -1,6 +1,6 @@
 import pytest
 
-from quirework.llm.encoding import decode, encode, garbled, repair
+from quirework.llm.encoding import DECODERS, ENCODERS, decode, encode, garbled, plausible, repair
 
 CLEAN = [
     "Don’t touch the fiddler’s trophy; it’s canvas, and “only” praised — at 18 °C ± 2 for £20.",
@@ -51,6 +51,39 @@ def test_sloppy_encoding_is_a_round_trip():
     assert encode(decode(every, "sloppy-1252"), "sloppy-1252") == every
 
 
+SENTENCES = [
+    "Привет, мир и друзья", "Это было в школе и дома у нас", "В 1967 году наш кружок перенёс стол в старый зал и устроил праздник.",
+    "¿Quién llevó la puerta al jardín? Mañana, según él, volverá el niño.", "À la fête d’été, les élèves ont préparé 57 crêpes où l’on danse.",
+    "Können Sie sagen, wo die Truhe steht? Über der Tür, meint Jürva; er weiß es.", "A reunião da estação será amanhã; não faltem, tragam pão e maçãs.",
+]
+
+
+@pytest.mark.parametrize("wrong", ENCODERS)
+@pytest.mark.parametrize("right", DECODERS)
+def test_sentences_come_back_or_are_not_complete(right, wrong):
+    for text in SENTENCES:
+        data = encode(text, right)
+        bad = decode(data, wrong) if data is not None else None
+        if bad is None or bad == text:
+            continue
+        made, n, left = repair(bad)
+        assert made == text or not n or left, (text, bad, made)
+        if right == "utf-8":
+            assert made == text, (bad, made)
+
+
+@pytest.mark.parametrize(("text", "right"), [("ελληνικά και άλλα", "cp1253"), ("příliš žluťoučký kůň", "cp1250"), ("テストです、日本語", "shift_jis"), ("გამარჯობა", "utf-16-le")])
+def test_other_encodings_are_never_complete(text, right):
+    for wrong in ENCODERS:
+        bad = decode(text.encode(right), wrong)
+        made, n, left = repair(bad)
+        assert not n or left or made == text, (bad, made)
+
+
+def test_plausible():
+    assert plausible("Сторож бережно хранил барабан, naïveté 70 %") and not plausible("нууофптц") and not plausible("пРИВЕТ") and not plausible("λόγος")
+
+
 def test_rows(spark):
     bad = decode("caf\xe9 d’été".encode(), "sloppy-1252")
     rows = [(1, bad, "r"), (1, bad, "r"), (2, None, "r"), (3, "", "r"), (4, CLEAN[0], "r"), (5, "x" * 200_000 + bad, "r"), (6, "caf&Atilde;&copy; here", "r")]
