@@ -32,6 +32,31 @@ def test_batches_in_any_number_give_one_ledger(spark):
     assert sorted(once.read().collect()) == sorted(thrice.read().collect())
 
 
+def test_a_ledger_opened_again_goes_on(spark, tmp_path):
+    frame = spark.createDataFrame(rows(), SCHEMA)
+    once = Ledger(spark, buckets=4)
+    once.add(frame, "term", "entry")
+    where = f"file://{tmp_path}/ledger"
+    for k in range(4):
+        # each batch goes to a ledger that knows only what lies in the folder
+        Ledger(spark, where, buckets=4 if k == 0 else 99).add(frame.where(F.col("entry") % 4 == k), "term", "entry")
+    again = Ledger(spark, where)
+    assert again.buckets == 4 and sorted(again.read().collect()) == sorted(once.read().collect())
+    lying = {p.name for p in (tmp_path / "ledger").iterdir() if not p.name.startswith(".")}
+    assert {n for n in lying if n.startswith("list-")} == {f"list-{again.generation}.json"}
+    assert {n for n in lying if n.isdigit()} == {str(g) for g in again.held.values()}
+
+
+def test_only_touched_buckets_are_written(spark):
+    ledger = Ledger(spark, buckets=16)
+    ledger.add(spark.createDataFrame([(i, f"term {i}") for i in range(200)], "entry long, term string"), "term", "entry")
+    before = dict(ledger.held)
+    ledger.add(spark.createDataFrame([(500, "Term 3"), (501, "term-3")], "entry long, term string"), "term", "entry")
+    changed = [b for b in before if before[b] != ledger.held[b]]
+    assert len(before) == 16 and len(changed) == 1
+    assert {r.key: r.n for r in ledger.read().where("n > 1").collect()} == {"term3": 3}
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([], SCHEMA)
     assert copies(frame, ledger_of(frame, "term", "entry", "at"), "term", "entry").count() == 0
