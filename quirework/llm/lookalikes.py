@@ -9,41 +9,50 @@ characters are normalized.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Letters of other scripts that are taken for a Latin letter, from Unicode's public
-# list of confusable characters.
+# list of confusable characters: those of five scripts that look like a basic Latin letter in print.
 CYRILLIC = dict(zip("АВЕКМНОРСТУХЅІЈҮԚԜӀавекмноресуохѕіјһԁԛԝѵүӏ", "ABEKMHOPCTYXSIJYQWIaBekMHopecyoxsijhdqwvyl"))
 for _unlike in "вмн":  # these look like small capitals, not like letters in use
     del CYRILLIC[_unlike]
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳαγικνορυχϲ", "ABEZHIKMNOPTYXCjayikvopuxc"))
 ARMENIAN = dict(zip("ՍՕՏՈհոսօցյ", "UOSnhnuogj"))
-TO_LATIN = CYRILLIC | GREEK | ARMENIAN
+CHEROKEE = dict(zip("ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏳᏴ", "DRTiyAJEWMHYGhZbRWSVSLCPKdGB"))
+COPTIC = dict(zip("ⲎⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲨⲬ", "HKMNOoPpCcTYX"))
+TO_LATIN = CYRILLIC | GREEK | ARMENIAN | CHEROKEE | COPTIC
 #: script -> Latin letter -> the letter of that script that looks like it
 FROM_LATIN = {
     "CYRILLIC": {v: k for k, v in CYRILLIC.items()},
     "GREEK": {v: k for k, v in GREEK.items()},
     "ARMENIAN": {v: k for k, v in ARMENIAN.items()},
+    "CHEROKEE": {v: k for k, v in CHEROKEE.items()},
+    "COPTIC": {v: k for k, v in COPTIC.items()},
 }
 
 #: Decompositions that look like what they stand for; raised, lowered, circled and squared forms
 #: and fractions don't.
 ALIKE = ("<wide>", "<narrow>", "<font>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>")
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Letters with the marks on them.
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_SCRIPTS = {name: regex.compile(rf"\p{{Script={name}}}") for name in ("LATIN", *FROM_LATIN)}
 _native: dict[str, str] = {}
 
 
 def native(char: str) -> str:
+    """A letter's script by its Script property; for scripts without look-alikes here the first
+    word of its name will do."""
     found = _native.get(char)
     if found is None:
-        found = _native[char] = unicodedata.name(char, "?").partition(" ")[0]
+        known = (name for name, pattern in _SCRIPTS.items() if pattern.match(char))
+        found = _native[char] = next(known, None) or unicodedata.name(char, "?").partition(" ")[0]
     return found
 
 
@@ -97,7 +106,24 @@ def _class(char: str) -> tuple[str, str | None]:
 def normalize(text: str | None) -> tuple[str | None, list[str]]:
     """The consistent form of a text and the kinds of change: invisible, space, compatibility,
     decomposed, lookalike. Only the form that looks the same is chosen: typographic quotes and
-    dashes, marks without a composed letter and words of another script stay."""
+    dashes, marks without a composed letter and words of another script stay.
+
+    Rounds of one_form until nothing changes, so a consistent form is its own: a letter that was
+    spelled anew may compose with its mark or make its neighbours' script clear. A round leaves
+    fewer letters that can be spelled, composed or replaced, so they end.
+    """
+    made, kinds = one_form(text)
+    found = set(kinds)
+    while made:
+        again, kinds = one_form(made)
+        if again == made:
+            break
+        made, found = again, found | set(kinds)
+    return made, sorted(found)
+
+
+def one_form(text: str | None) -> tuple[str | None, list[str]]:
+    """One round of normalize."""
     if not text or text.isascii():
         return text, []
     kinds = set()
@@ -129,7 +155,8 @@ def normalize(text: str | None) -> tuple[str | None, list[str]]:
             at = m.end()
         if case:
             kinds.add("lookalike")
-    return "".join([*spelled, composed[at:]]), sorted(kinds)
+    whole = "".join([*spelled, composed[at:]])
+    return unicodedata.normalize("NFC", whole) if spelled else whole, sorted(kinds)
 
 
 def spell(word: str, around: list[str] = ()) -> tuple[str, bool]:

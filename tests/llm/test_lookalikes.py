@@ -1,6 +1,8 @@
 import unicodedata
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quirework.llm.lookalikes import normalize, normalized, normalized_fields
@@ -29,6 +31,21 @@ def test_a_second_time_changes_nothing():
         assert normalize(once) == (once, []) and unicodedata.is_normalized("NFC", once)
 
 
+ALPHABET = "aeoxcEHpyz éñǘ̈̄ аеорсуАВЕНОбжи αορΑΒΗλ ՕօսԱ ᎪᏴᎾ ⲞⲣⲀ ＡｂﬁＫ​﻿­\u00a0\u3000 -–’.5²"
+
+
+@given(st.text(alphabet=ALPHABET, max_size=14))
+@settings(max_examples=3000, deadline=None)
+def test_a_consistent_form_is_its_own(text):
+    once = normalize(text)[0]
+    assert normalize(once) == (once, [])
+
+
+@pytest.mark.parametrize(("text", "plain"), [("cafе\u0301", "café"), ("ᎪᎷᎬᎡᏦ", "AMERK"), ("Ⲟrgan", "Organ"), ("resumе\u0301s", "resumés")])
+def test_marks_and_other_scripts(text, plain):
+    assert normalize(text)[0] == plain
+
+
 def test_rows(spark):
     rows = [(1, "Вench", None, "f"), (1, "Вench", None, "f"), (2, None, "a" * 200_000 + "​", "f"), (3, "plain", "", "f")]
     frame = spark.createDataFrame(rows, "i long, term string, definition string, text string")
