@@ -166,7 +166,7 @@ def dehyphenate(lines: Column) -> Column:
     """An array of lines as one: blank lines dropped, white space made single; a hyphen at a line's
     end goes if the next line starts in lower case and its first word has no hyphen, else it stays
     and a space follows."""
-    bare = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    bare = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: x != "")
 
     def join(done: Column, line: Column) -> Column:
         mends = done.endswith("-") & line.rlike(r"^\p{Ll}") & ~F.contains(F.split(line, " ")[0], F.lit("-"))
@@ -216,9 +216,19 @@ def evidence_tags(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\[([PRT])\](?!\()"), F.lit(1))
 
 
+#: A fenced code block, with both its fences.
+FENCE = r"(?ms)^```.*?^```[^\n]*$"
+
+
 def without_fences(text: Column) -> Column:
     """The text without its fenced code blocks."""
-    return F.regexp_replace(text, r"(?ms)^```.*?^```[^\n]*$", "")
+    return F.regexp_replace(text, FENCE, "")
+
+
+def outside_fences(text: Column) -> Column:
+    """The pieces of a text before, between and after its fenced code blocks. What stands on either
+    side of a block is never read together."""
+    return F.split(text, FENCE, -1)
 
 
 def links(page: Column) -> Column:
@@ -267,5 +277,6 @@ def entry_warnings(term: Column, definition: Column, longest_term: int = 40, lon
 
 
 def backoff(retry_after: Column, failures: Column, first: int = 60, most: int = 900) -> Column:
-    """Seconds to wait after so many throttled answers in a row."""
-    return F.least(F.coalesce(retry_after, F.lit(first) * F.pow(F.lit(2.0), failures - 1)), F.lit(float(most)))
+    """Seconds to wait after so many throttled answers in a row: as asked, if any time was asked (0 is
+    none), else doubling."""
+    return F.least(F.coalesce(F.nullif(retry_after, F.lit(0)), F.lit(first) * F.pow(F.lit(2.0), failures - 1)), F.lit(float(most)))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.functions.text import without_fences
+from quirework.functions.text import outside_fences
 from quirework.operators.ordered import running_number
 from quirework.operators.skew import join_keyed
 
+# The syntax of citations and of the page in a locator.
 #: [@key locator]; the locator keeps its leading white space and ends at the first bracket.
 CITATION = r"\[@([A-Za-z0-9][A-Za-z0-9._:-]*)((?:\s+[^\]]*)?)\]"
 #: A page number in a locator, as a word of its own: p.14, p 14, p14.
@@ -18,8 +19,9 @@ PAGE = r"\bp\.?\s*(\d+)"
 def extract(pages: DataFrame, page: str, text: str) -> DataFrame:
     """page, pos (from 0 in its page), key and locator of every citation outside fenced code. Null
     texts have none; the columns of pages besides are not carried."""
-    bare = without_fences(F.col(text))
-    pairs = F.arrays_zip(F.regexp_extract_all(bare, F.lit(CITATION), F.lit(1)).alias("key"), F.regexp_extract_all(bare, F.lit(CITATION), F.lit(2)).alias("locator"))
+    pieces = outside_fences(F.col(text))
+    found = lambda group: F.flatten(F.transform(pieces, lambda p: F.regexp_extract_all(p, F.lit(CITATION), F.lit(group))))
+    pairs = F.arrays_zip(found(1).alias("key"), found(2).alias("locator"))
     return pages.select(F.col(page), F.posexplode(pairs).alias("pos", "c")).select(page, "pos", F.col("c.key").alias("key"), F.col("c.locator").alias("locator"))
 
 
@@ -29,7 +31,7 @@ def collapsed(locator: Column) -> Column:
 
 def named_part(parts: Column, locator: Column) -> Column:
     """The name of the part that a locator names as whole words, whatever the case; of several the
-    longest, of equally long the first in order. Null if none."""
+    longest, of equally long the one declared first. Null if none."""
     padded = F.concat(F.lit(" "), F.lower(F.coalesce(locator, F.lit(""))), F.lit(" "))
 
     def named(name: Column) -> Column:
@@ -39,7 +41,7 @@ def named_part(parts: Column, locator: Column) -> Column:
 
     found = F.filter(F.map_keys(parts), named)
     longest = F.array_max(F.transform(found, lambda n: F.length(n)))
-    return F.try_element_at(F.array_sort(F.filter(found, lambda n: F.length(n) == longest)), F.lit(1))
+    return F.try_element_at(F.filter(found, lambda n: F.length(n) == longest), F.lit(1))
 
 
 def resolve(citations: DataFrame, catalog: DataFrame, key: str = "cite_key", locator: str = "locator") -> DataFrame:

@@ -8,11 +8,17 @@ machine over the sorted lines of a partition, which holds one entry at a time.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quirework.functions.text import NUMBERED, dehyphenate, entry_warnings, indent_width, looks_like_term, shifted_decode
 from quirework.operators.ordered import next_text, running_sum
@@ -67,14 +73,14 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     return kept.select("doc", "paragraph", F.col("_lines")[0]["position"].alias("position"), F.col("_lines")[0]["line_id"].alias("line_id"), F.transform("_lines", lambda x: F.trim(x["text"])).alias("lines"))
 
 
-def _merged(parts: DataFrame) -> DataFrame:
+def _merged(parts: DataFrame, join=dehyphenate) -> DataFrame:
     """Entries of paragraphs with is_start, term and body: the others continue the entry before."""
     numbered = running_sum(parts.withColumn("_start", F.when(F.col("is_start"), 1).otherwise(0)), ["doc"], "position", "_start", "entry_no", SPAN)
     ordered = F.array_sort(F.collect_list(F.struct("position", "line_id", "term", "body", F.size("lines").alias("n"))))
     grouped = numbered.where("entry_no > 0").groupBy("doc", "entry_no").agg(ordered.alias("_p"))
     bodies = F.transform("_p", lambda x: x["body"])
     n_lines = F.aggregate("_p", F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
-    return grouped.select("doc", "entry_no", F.col("_p")[0]["term"].alias("term"), dehyphenate(bodies).alias("definition"), n_lines.alias("n_lines"))
+    return grouped.select("doc", "entry_no", F.col("_p")[0]["term"].alias("term"), join(bodies).alias("definition"), n_lines.alias("n_lines"))
 
 
 def read_para(lines: DataFrame, max_term: int = 45) -> DataFrame:
@@ -100,12 +106,14 @@ def read_inline(lines: DataFrame) -> DataFrame:
 
 
 def read_colon(lines: DataFrame, max_term: int = 60) -> DataFrame:
-    """A paragraph "Term: definition" begins an entry, any other continues it."""
+    """A paragraph "Term: definition" begins an entry, any other continues it after a space, also
+    where a hyphen stands before."""
     parts = paragraphs(lines).withColumn("whole", dehyphenate(F.col("lines")))
     pattern = rf"(?s)^([^:]{{1,{max_term}}}):\s*(.*)$"
     parts = parts.withColumn("is_start", F.col("whole").rlike(pattern))
     body = F.when(F.col("is_start"), F.trim(F.regexp_extract("whole", pattern, 2))).otherwise(F.col("whole"))
-    return _merged(parts.withColumn("term", F.trim(F.regexp_extract("whole", pattern, 1))).withColumn("body", body))
+    spaced = lambda bodies: F.array_join(F.filter(bodies, lambda b: b != ""), " ")
+    return _merged(parts.withColumn("term", F.trim(F.regexp_extract("whole", pattern, 1))).withColumn("body", body), spaced)
 
 
 class _Plain:
@@ -182,18 +190,24 @@ def layout_scores(lines: DataFrame, layouts: tuple[str, ...] = LAYOUTS) -> DataF
 # ---- columns -----------------------------------------------------------------------------------
 
 
-def cut(line: Column, bounds: list[int]) -> Column:
-    """The line's trimmed pieces between fixed offsets."""
-    edges = [0, *bounds]
-    ends = [b - a for a, b in zip(edges, bounds)] + [1_000_000]
-    return F.array(*(F.trim(F.substring(line, a + 1, n)) for a, n in zip(edges, ends)))
+Bound = Column | int
 
 
-def cut_keeping_indent(lines: DataFrame, group: list[str], line: str, bounds: list[int]) -> DataFrame:
+def _spans(bounds: list[Bound]) -> list[tuple[Column, Column]]:
+    """Where each column starts, from 1, and how wide it is; the last has no end."""
+    edges = [F.lit(0), *(b if isinstance(b, Column) else F.lit(b) for b in bounds)]
+    ends = [b - a for a, b in zip(edges, edges[1:])] + [F.lit(2**31 - 1)]
+    return [(a + 1, n) for a, n in zip(edges, ends)]
+
+
+def cut(line: Column, bounds: list[Bound]) -> Column:
+    """The line's trimmed pieces between offsets, which may be the line's own."""
+    return F.array(*(F.trim(F.substr(line, a, n)) for a, n in _spans(bounds)))
+
+
+def cut_keeping_indent(lines: DataFrame, group: list[str], line: str, bounds: list[Bound]) -> DataFrame:
     """lines with pieces, each column shifted left so that its least indented line starts at 0."""
-    edges = [0, *bounds]
-    ends = [b - a for a, b in zip(edges, bounds)] + [1_000_000]
-    raw = [F.rtrim(F.substring(F.col(line), a + 1, n)) for a, n in zip(edges, ends)]
+    raw = [F.rtrim(F.substr(F.col(line), a, n)) for a, n in _spans(bounds)]
     held = lines.withColumns({f"_c{k}": c for k, c in enumerate(raw)})
     least = held.groupBy(*group).agg(*(F.min(F.when(F.col(f"_c{k}") != "", indent_width(F.col(f"_c{k}")))).alias(f"_i{k}") for k in range(len(raw))))
     moved = [F.substr(f"_c{k}", F.coalesce(F.col(f"_i{k}"), F.lit(0)) + 1) for k in range(len(raw))]
@@ -213,9 +227,9 @@ def segments(line: Column) -> Column:
     return ends["done"]
 
 
-def column_of(start: Column, starts: list[int]) -> Column:
+def column_of(start: Column, starts: list[Bound]) -> Column:
     """The number of the last column that starts at most four characters after a segment."""
-    return F.size(F.filter(F.array(*map(F.lit, starts)), lambda s: s <= start + 4)) - 1
+    return F.size(F.filter(F.array(*(s if isinstance(s, Column) else F.lit(s) for s in starts)), lambda s: s <= start + 4)) - 1
 
 
 def word_starts(lines: DataFrame, group: list[str], line: str) -> DataFrame:
@@ -258,27 +272,149 @@ def offset_shares(lines: DataFrame, group: list[str], line: str, offsets: list[i
     )
 
 
-def locate(entries: DataFrame, lines: DataFrame) -> DataFrame:
+def cut_drifting(line: Column, bounds: Column, tolerance: int = 8) -> Column:
+    """The line's columns where columns drift: its segments (pieces between runs of two or more
+    spaces), each in the last column that starts at most four characters after it. A segment that
+    runs more than `tolerance` characters past a column's start is cut at the space nearest that
+    start, if one is within six characters; segments of one column are joined by a space.
+
+    An Arrow UDF, as a cut depends on the cut before. bounds is an array of the starts of all
+    columns but the first; null lines give null.
+    """
+
+    def each(lines: pd.Series, starts: pd.Series) -> pd.Series:
+        return pd.Series([drifting_columns(t, [int(b) for b in s], tolerance) if t is not None else None for t, s in zip(lines, starts)], dtype=object)
+
+    return F.pandas_udf(each, "array<string>")(line, bounds)
+
+
+_SEGMENT = re.compile(r"\S+(?: \S+)*")
+
+
+def drifting_columns(line: str, bounds: list[int], tolerance: int) -> list[str]:
+    """One line's text in each column."""
+    starts, row = [0, *bounds], [[] for _ in range(len(bounds) + 1)]
+    waiting = [(m.start(), m.group()) for m in _SEGMENT.finditer(line)][::-1]
+    while waiting:
+        start, text = waiting.pop()
+        # a start up to three characters on is the segment's own column
+        crossed = next((b - start for b in bounds if b > start + 3 and start + len(text) > b + tolerance), None)
+        spaces = [k for k in range(max(crossed - 6, 0), crossed + 7) if text[k : k + 1] == " "] if crossed is not None else []
+        if spaces:
+            at = min(spaces, key=lambda k: abs(k - crossed))
+            waiting.append((start + at + 1, text[at + 1 :]))
+            text = text[:at]
+        row[max(k for k, s in enumerate(starts) if k == 0 or s <= start + 4)].append(text)
+    return [" ".join(t for t in texts if t) for texts in row]
+
+
+def _offset_counts(line: str) -> tuple[np.ndarray, ...]:
+    """Of each offset of a line without space at its end: whether a word runs across it, starts at
+    it, and starts at it or within two characters after."""
+    space = np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32
+    before = np.r_[True, space[:-1]]
+    starts = ~space & before
+    starts[0] = False
+    across = ~(space | before & (np.arange(len(space)) > 0) | np.r_[False, False, space[:-2]][: len(space)])
+    soon = starts | np.r_[starts[1:], False] | np.r_[starts[2:], False, False][: len(space)]
+    return across, starts, soon
+
+
+def offset_counts(lines: DataFrame, group: list[str], line: str) -> DataFrame:
+    """group, offset, n (lines that reach past it), and how many of them have a word across it,
+    start one at it, or within three characters from it. Counted within each batch, then summed:
+    no page is gathered."""
+    names = [*group, "offset", "n", "across", "starts", "soon"]
+    schema = StructType([*(lines.schema[c] for c in group), *(StructField(c, LongType()) for c in names[len(group) :])])
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for key, part in frame.groupby(group, dropna=False, sort=False):
+                texts = [t for t in part["_line"] if t]
+                counts = np.zeros((4, max(map(len, texts), default=0)), np.int64)
+                for text in texts:
+                    counts[0, : len(text)] += 1
+                    counts[1:, : len(text)] += _offset_counts(text)
+                made = pd.DataFrame(counts.T, columns=names[len(group) + 1 :])
+                made.insert(0, "offset", np.arange(len(made)))
+                for k, column in enumerate(group):
+                    made.insert(k, column, [part[column].iloc[0]] * len(made))
+                yield made.astype({c: "Int64" for k, c in enumerate(group) if pd.api.types.is_float_dtype(made[c])})
+
+    counted = lines.select(*group, F.rtrim(line).alias("_line")).mapInPandas(task, schema)
+    return counted.groupBy(*group, "offset").agg(*(F.sum(c).alias(c) for c in ("n", "across", "starts", "soon")))
+
+
+#: A column is at least so wide; its start is looked for so far around a candidate; at most so many
+#: lines may have a word across it; an offset is a candidate if so many have a word start there.
+NARROWEST, NUDGE, MOST_CUT, LEAST_STARTS = 25, 6, 0.1, 0.5
+
+
+def column_starts(lines: DataFrame, group: list[str], line: str) -> DataFrame:
+    """group and starts: where the second and third columns of a page start, empty for one column.
+
+    Candidates are the offsets with most word starts (peaks of six columns) and those where half the
+    lines that reach them start a word; each is moved to where, nearby, fewest words are cut, then
+    most start, then it is nearest. Of what cuts few words the first two that are far enough apart
+    are taken. Offsets that under five lines reach count as cut.
+    """
+    few = F.col("n") < 5
+    shares = offset_counts(lines, group, line).select(
+        *group, "offset", F.when(few, 1.0).otherwise(F.col("across") / F.col("n")).alias("cut"), F.when(few, 0.0).otherwise(F.col("starts") / F.col("n")).alias("start"),
+        (~few & (F.col("soon") / F.col("n") >= LEAST_STARTS) & (F.col("offset") >= NARROWEST)).alias("likely"),
+    )
+    # offsets are without gaps from 0, as many as the page's longest line is wide
+    pages = shares.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("offset", "cut", "start", "likely"))).alias("_at"))
+    found = peaks(word_starts(lines, group, line), group, 6, 10).withColumnsRenamed({c: f"_{c}" for c in group})
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group))
+    both = pages.join(found, same, "left")
+    likely = F.transform(F.filter("_at", lambda x: x["likely"]), lambda x: x["offset"].cast("int"))
+    tried = F.array_distinct(F.concat(F.coalesce("offsets", F.array().cast("array<int>")), likely))
+
+    def cleanest(start: Column) -> Column:
+        def judged(o: Column) -> Column:
+            here = F.try_element_at(F.col("_at"), o + 1)
+            return F.struct(F.coalesce(here["cut"], F.lit(1.0)).alias("cut"), (-F.coalesce(here["start"], F.lit(0.0))).alias("start"), F.abs(o - start).alias("away"), o.alias("offset"))
+
+        return F.array_min(F.transform(F.sequence(F.greatest(start - NUDGE, F.lit(1)), start + NUDGE), judged))
+
+    nudged = F.array_sort(F.array_distinct(F.transform(tried, lambda c: F.struct(cleanest(c)["offset"].alias("offset"), cleanest(c)["cut"].alias("cut")))))
+    kept = F.aggregate(
+        nudged, F.array().cast("array<int>"),
+        lambda done, x: F.when((x["cut"] <= MOST_CUT) & (x["offset"] - F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) >= NARROWEST), F.array_append(done, x["offset"])).otherwise(done),
+    )
+    return both.select(*group, F.slice(kept, 1, 2).alias("starts"))
+
+
+def locate(entries: DataFrame, lines: DataFrame, starts_line: bool = False) -> DataFrame:
     """doc, entry_no, page and is_certain: where each entry's term is, searched on from just after
-    the one before; a term that isn't found takes the page where its search would have begun.
+    the one before; a term that isn't found takes the page where its search would have begun. A
+    line has a term if it is that term or, where the layout's terms open a line, starts with it.
     A document is one task's, as each search depends on the last."""
 
     def task(found: pd.DataFrame, where: pd.DataFrame) -> pd.DataFrame:
         found, where = found.sort_values("entry_no"), where.sort_values(["position", "line_id"])
         texts, pages = where["text"].str.strip().tolist(), where["page"].tolist()
-        places: dict[str, list[int]] = {}
-        for k, text in enumerate(texts):
-            places.setdefault(text, []).append(k)
+        in_order = sorted((t, k) for k, t in enumerate(texts))
         cursor, out = 0, []
         for doc, number, term in zip(found["doc"], found["entry_no"], found["term"]):
-            at = next((k for k in places.get(term, ()) if k >= cursor), None)
+            at, k = None, bisect_left(in_order, (term, cursor if not starts_line else 0))
+            while k < len(in_order) and (in_order[k][0] == term or starts_line and in_order[k][0].startswith(term)):
+                if in_order[k][1] >= cursor and (at is None or in_order[k][1] < at):
+                    at = in_order[k][1]
+                    if not starts_line:
+                        break
+                k += 1
             if at is not None:
                 cursor = at + 1
             page = pages[at] if at is not None else pages[min(cursor, len(pages) - 1)] if pages else None
             out.append((doc, number, page, at is not None))
         return pd.DataFrame(out, columns=["doc", "entry_no", "page", "is_certain"]).astype({"page": "Int64"})
 
-    return entries.select("doc", "entry_no", "term").groupBy("doc").cogroup(lines.select("doc", "page", "position", "line_id", "text").groupBy("doc")).applyInPandas(task, "doc string, entry_no bigint, page bigint, is_certain boolean")
+    # entries may come from the same lines, so each side has columns of its own
+    own = lambda df, *columns: df.select(*(F.col(c).alias(f"_{c}") for c in columns)).withColumnsRenamed({f"_{c}": c for c in columns})
+    left, right = own(entries, "doc", "entry_no", "term"), own(lines, "doc", "page", "position", "line_id", "text")
+    return left.groupBy(left["doc"]).cogroup(right.groupBy(right["doc"])).applyInPandas(task, "doc string, entry_no bigint, page bigint, is_certain boolean")
 
 
 def phrase_lines(texts: DataFrame, row_id: str, text: str, phrase: str, width: int = 160) -> DataFrame:

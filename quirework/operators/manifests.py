@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quirework.functions.text import slugify
-from quirework.operators.ordered import one_of_each, running_number
+from quirework.operators.ordered import one_of_each, running_number, running_sum
 
 
 def sniff(lines: DataFrame, file: str, row_ord: str, line: str, header: list[str]) -> DataFrame:
@@ -50,17 +54,54 @@ def delimiter_faults(rows: DataFrame, row_id: list[str], columns: list[str]) ->
 
 
 def slugged(items: DataFrame, folder: str, text: str, order: str) -> DataFrame:
-    """items with name: the slug of the text, the second of a folder's name-2 and so on, in order
-    (an integer). Where an item's own slug is such a name already, the number comes after a double
-    hyphen, which no slug has, so names are unique in a folder. Hot names are numbered by spans."""
-    named = items.withColumn("_slug", slugify(F.coalesce(text, F.lit(""))))
-    numbered = running_number(named, [folder, "_slug"], order, "_n").withColumn("_name", F.concat("_slug", F.lit("-"), F.col("_n").cast("string")))
-    own = named.select(F.col(folder).alias("_folder"), F.col("_slug").alias("_own")).distinct()
-    later = numbered.where("_n > 1").join(own, F.col(folder).eqNullSafe(F.col("_folder")) & (F.col("_name") == F.col("_own")), "left")
-    apart = F.when(F.col("_own").isNull(), F.col("_name")).otherwise(F.concat("_slug", F.lit("--"), F.col("_n").cast("string")))
-    first = numbered.where("_n = 1").withColumn("name", F.col("_slug"))
+    """items with name: the slug of the text if no item before it in its folder, by order (an
+    integer), has that name; else the slug with the next number from 2 on that makes a new name.
+
+    Names can only meet where a slug is another one with numbers behind it. Slugs without such
+    others are numbered by spans, however many items they have. The others are read in order, a
+    family (slugs alike but for the numbers) being one task's, which keeps a counter a slug and no
+    items; the sort before it spills.
+    """
+    named = items.withColumns({"_slug": slugify(F.coalesce(text, F.lit(""))), "_folder": F.coalesce(F.col(folder).cast("string"), F.lit(""))})
+    named = named.withColumn("_family", F.regexp_replace("_slug", "(?:-[0-9]+)+$", ""))
+    slugs = named.groupBy("_folder", "_family", "_slug").agg(F.lit(1).alias("_one"))
+    mixed = slugs.groupBy("_folder", "_family").agg(F.count("*").alias("_slugs")).where("_slugs > 1").drop("_slugs")
+    alone = named.join(mixed, ["_folder", "_family"], "left_anti")
+    numbered = running_number(alone, ["_folder", "_slug"], order, "_n")
+    first = numbered.withColumn("name", F.when(F.col("_n") == 1, F.col("_slug")).otherwise(F.concat("_slug", F.lit("-"), F.col("_n").cast("string"))))
+    shared = named.join(mixed, ["_folder", "_family"], "left_semi")
+    keys = [c for c, kind in items.dtypes if not kind.startswith("map") and c != order]
+    ordered = shared.repartition("_folder", "_family").sortWithinPartitions("_folder", "_family", order, *keys)
+    schema = StructType([*shared.schema.fields, StructField("name", StringType())])
+    later = ordered.mapInPandas(_count_on, schema)
     columns = [*items.columns, "name"]
-    return first.select(*columns).unionByName(later.withColumn("name", apart).select(*columns))
+    return first.select(*columns).unionByName(later.select(*columns))
+
+
+def _count_on(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Names of items sorted by family: those taken as they are, and of each slug the next number."""
+    family, taken, following = None, set(), {}
+    for frame in frames:
+        names = []
+        for where, slug in zip(zip(frame["_folder"], frame["_family"]), frame["_slug"]):
+            if where != family:
+                family, taken, following = where, set(), {}
+
+            def used(name: str) -> bool:
+                base, _, number = name.rpartition("-")
+                counted = number.isdigit() and not (number.startswith("0")) and 2 <= int(number) < following.get(base, 2)
+                return name in taken or counted
+
+            if not used(slug):
+                taken.add(slug)
+                names.append(slug)
+                continue
+            n = following.get(slug, 2)
+            while f"{slug}-{n}" in taken:
+                n += 1
+            following[slug] = n + 1
+            names.append(f"{slug}-{n}")
+        yield frame.assign(name=names)
 
 
 def with_empty_groups(groups: DataFrame, items: DataFrame, key: str) -> DataFrame:
@@ -90,15 +131,15 @@ def report(judged: DataFrame, target: str, cited_in: str) -> DataFrame:
     return judged.groupBy("passed", "outcome", target).agg(F.count("*").alias("n_cited"), F.min(cited_in).alias("first_cited_in"))
 
 
-def fetch_state(log: DataFrame, stream: str, seq: str, outcome: str, most: int = 5) -> DataFrame:
+def fetch_state(log: DataFrame, stream: str, seq: str, outcome: str, most: int = 5, width: int = 65_536) -> DataFrame:
     """Every attempt with failures, the throttled answers in a row up to it (a fetched file sets
-    them back), and stopped, whether there were `most` of them. Window over one stream of attempts."""
-    order = Window.partitionBy(stream).orderBy(seq)
-    block = F.count_if(F.col(outcome) == "fetched").over(order)
-    counted = log.withColumn("_block", block)
-    inside = Window.partitionBy(stream, "_block").orderBy(seq)
-    failures = F.count_if(F.col(outcome) == "throttled").over(inside)
-    return counted.withColumn("failures", failures).withColumn("stopped", F.col("failures") >= most).drop("_block")
+    them back), and stopped, whether there were `most` of them by then: a run that stopped stays
+    so. seq is an integer; a stream is cut in spans of `width` of it, so a hot one isn't a task."""
+    known = log.withColumn("_fetched", (F.col(outcome) == "fetched").cast("int"))
+    blocks = running_sum(known, [stream], seq, "_fetched", "_block", width).withColumn("_throttled", (F.col(outcome) == "throttled").cast("int"))
+    counted = running_sum(blocks, [stream, "_block"], seq, "_throttled", "failures", width).withColumn("_full", (F.col("failures") >= most).cast("int"))
+    stopped = running_sum(counted, [stream], seq, "_full", "_stops", width).withColumn("stopped", F.col("_stops") > 0)
+    return stopped.select(*log.columns, "failures", "stopped")
 
 
 def versions(tags: DataFrame) -> DataFrame:

@@ -41,12 +41,6 @@ def running_number(rows: DataFrame, keys: list[str], position: str, name: str, w
     return numbered.withColumn(name, F.col("_own") + F.col("_offset")).select(*rows.columns, name)
 
 
-def lead_text(text: Column, window) -> Column:
-    """The next line of the window that isn't blank; empty if there is none."""
-    full = F.when(F.trim(text) != "", text)
-    return F.coalesce(F.first(full, ignorenulls=True).over(window.rowsBetween(1, Window.unboundedFollowing)), F.lit(""))
-
-
 def running_sum(rows: DataFrame, keys: list[str], position: str, value: str, name: str, width: int) -> DataFrame:
     """Adds name: the sum of value from the group's first row to this one, by position. Summed by
     spans of positions as in running_number, so a hot group isn't one task. Null values count 0."""

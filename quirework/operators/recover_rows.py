@@ -271,9 +271,3 @@ def valid_entries(parsed: DataFrame) -> DataFrame:
 def rejected_lines(parsed: DataFrame) -> DataFrame:
     """The other records with the reason they failed, and the repair that the parse suggests."""
     return parsed.where("cost > 0").withColumn("reason", F.array_join("edits", "; "))
-
-
-def batches(parsed: DataFrame) -> Iterator[DataFrame]:
-    """Both results, for a caller that writes one after the other."""
-    yield valid_entries(parsed)
-    yield rejected_lines(parsed)

@@ -53,7 +53,9 @@ def slugs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def slug_collisions(spark: SparkSession, folder: str) -> DataFrame:
-    items = table(spark, folder, "placements").select("placement_id", F.coalesce("gallery_key", F.lit("")).alias("gallery_key"), F.col("topic").alias("topic"))
+    # every fifth topic already ends in a number, as names that were numbered by hand do
+    topic = F.when(F.col("placement_id") % 5 == 0, F.concat(F.coalesce("topic", F.lit("")), F.lit(" "), (F.col("placement_id") % 4).cast("string"))).otherwise(F.col("topic"))
+    items = table(spark, folder, "placements").select("placement_id", F.coalesce("gallery_key", F.lit("")).alias("gallery_key"), topic.alias("topic"))
     return M.slugged(items, "gallery_key", "topic", "placement_id").select("placement_id", "name")
 
 
@@ -87,7 +89,7 @@ def signed_limit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def html_escape(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "owlmanac_2016").select("entry_id", X.html_escape(F.concat(F.lit("<b>"), F.col("term"), F.lit("</b> & '"))).alias("escaped"))
+    return table(spark, folder, "owlmanac_2016").select("entry_id", X.html_escape(F.concat(F.lit("<b>"), F.concat_ws(" ", "term", "definition"), F.lit("</b> & '"))).alias("escaped"))
 
 
 def html_to_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,7 +152,8 @@ def fetch_state(spark: SparkSession, folder: str) -> DataFrame:
 
 def backoff(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events")
-    return events.select("event_id", X.backoff(F.when(F.col("event_id") % 2 == 0, F.col("value") * 10), F.col("event_id") % 6 + 1).alias("wait"))
+    asked = F.when(F.col("event_id") % 10 == 0, F.lit(0.0)).when(F.col("event_id") % 2 == 0, F.col("value") * 10)
+    return events.select("event_id", X.backoff(asked, F.col("event_id") % 6 + 1).alias("wait"))
 
 
 def shape_vote(spark: SparkSession, folder: str) -> DataFrame:
@@ -190,15 +193,16 @@ SQL = {
   select f.photo_subpath, f.web_path, f.added_at, coalesce(nullif(l.caption, ''), f.caption) as caption, coalesce(nullif(l.topic, ''), f.topic) as topic, coalesce(nullif(l.date_text, ''), f.date_text) as date_text from photos f left join last l on l.photo_subpath = f.photo_subpath""",
     "delimiter_audit": r"select entry_id, column_name from (select entry_id, unnest(['term', 'definition', 'locator']) as column_name, unnest([term, definition, locator]) as v from owlmanac_2016) where regexp_matches(v, '[\t\r\n]')",
     "slugs": "select entry_id, coalesce(nullif(trim(regexp_replace(lower(coalesce(term, '')), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'img') as slug from glossary",
-    "slug_collisions": """with s as (select placement_id, coalesce(gallery_key, '') as g, coalesce(nullif(trim(regexp_replace(lower(coalesce(topic, '')), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'img') as slug from placements),
-  n as (select *, row_number() over (partition by g, slug order by placement_id) as k from s)
-  select placement_id, case when k = 1 then slug when (g, slug || '-' || k) in (select (g, slug) from s) then slug || '--' || k else slug || '-' || k end as name from n""",
+    "slug_collisions": """with s as (select placement_id, coalesce(gallery_key, '') as g, coalesce(nullif(trim(regexp_replace(lower(case when placement_id % 5 = 0 then coalesce(topic, '') || ' ' || (placement_id % 4) else coalesce(topic, '') end), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'img') as slug from placements),
+  lists as (select g, list(placement_id order by placement_id) as ids, list(slug order by placement_id) as slugs from s group by g),
+  named as (select g, ids, list_reduce(slugs, lambda done, x: list_append(done, case when not list_contains(done, x) then x else list_filter(list_transform(generate_series(2, len(done) + 2), lambda n: x || '-' || n), lambda y: not list_contains(done, y))[1] end), cast([] as varchar[])) as names from lists)
+  select unnest(ids) as placement_id, unnest(names) as name from named""",
     "groups_with_empty": "select g.gallery_key, count(p.placement_id) as n_items from (select distinct gallery_key from galleries) g left join placements p on p.gallery_key = g.gallery_key group by g.gallery_key",
     "photo_credit": "select placement_id, concat_ws(' — ', nullif(credit_plain, ''), nullif(array_to_string(list_transform(regexp_extract_all(credit_citation, '\\[@([A-Za-z0-9][A-Za-z0-9._:-]*)', 1), lambda k: '@' || k), '; '), '')) as credit from placements",
     "page_url": "select gallery_key, 'https://site.example/' || regexp_replace(regexp_replace(page_path, '\\.md$', '/'), '(^|/)index/$', '\\1') as url from galleries",
     "page_actions": "select page, page <> 'index.md' and not starts_with(page, 'about/') as shown, case when page <> 'index.md' and not starts_with(page, 'about/') then url_encode(regexp_replace(page, '\\.md$', '')) end as title from (select distinct page from resolved_citations)",
     "signed_limit": "select file_ord, row_ord from (select file_ord, row_ord, row_number() over (order by file_ord desc, row_ord desc) as k from bibliography) where k > 25",
-    "html_escape": "select entry_id, '&lt;b&gt;' || replace(replace(replace(replace(replace(term, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') || '&lt;/b&gt; &amp; &#x27;' as escaped from owlmanac_2016",
+    "html_escape": "select entry_id, '&lt;b&gt;' || replace(replace(replace(replace(replace(concat_ws(' ', term, definition), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') || '&lt;/b&gt; &amp; &#x27;' as escaped from owlmanac_2016",
     "link_extract": "select file_ord, row_ord, url as link from bibliography where regexp_matches(url, '^https?://')",
     "bytes_decode": """with t as (select doc_id, case when doc_id % 3 = 0 then regexp_replace(text, '[^\\x{00}-\\x{7E}\\x{A0}-\\x{FF}]', '-', 'g') || ' é' else text end as t from documents) select doc_id, length(t) as n_chars, md5(t) as digest from t""",
     "version_table": """with g as (select snapshot_no, min(snapshot_date) as day, count(*) as n from owlmanac_snapshots group by 1),
@@ -208,9 +212,9 @@ SQL = {
     "link_report": _RESULTS + "select passed, outcome, target, count(*) as n_cited, min(cited_in) as first_cited_in from judged group by all",
     "fetch_state": """with a as (select event_id, user_id, case event_type when 'purchase' then 'fetched' when 'click' then 'throttled' else 'failed' end as outcome from events),
   b as (select *, count(*) filter (outcome = 'fetched') over (partition by user_id order by event_id) as block from a),
-  c as (select event_id, count(*) filter (outcome = 'throttled') over (partition by user_id, block order by event_id) as failures from b)
-  select event_id, failures, failures >= 5 as stopped, case when failures > 0 then least(60 * pow(2.0, failures - 1), 900.0) end as wait from c""",
-    "backoff": "select event_id, least(coalesce(case when event_id % 2 = 0 then value * 10 end, 60 * pow(2.0, event_id % 6)), 900.0) as wait from events",
+  c as (select event_id, user_id, count(*) filter (outcome = 'throttled') over (partition by user_id, block order by event_id) as failures from b)
+  select event_id, failures, max(failures) over (partition by user_id order by event_id) >= 5 as stopped, case when failures > 0 then least(60 * pow(2.0, failures - 1), 900.0) end as wait from c""",
+    "backoff": "select event_id, least(coalesce(nullif(case when event_id % 10 = 0 then 0.0 when event_id % 2 = 0 then value * 10 end, 0), 60 * pow(2.0, event_id % 6)), 900.0) as wait from events",
     "shape_vote": """with g as (select vec_id % 10 as font, cast(cast(floor(embedding[1] * cast(40 as float)) as bigint) as varchar) as shape, cast(label as varchar) as extracted, vec_id as ord from embeddings),
   ref as (select shape, arg_min(extracted, ord) as meant from g where ord % 4 = 0 group by shape),
   sums as (select font, shape, extracted, count(*) as n, min(ord) as f from g group by all),

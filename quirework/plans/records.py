@@ -72,11 +72,11 @@ def reference_backlinks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def longest_word_match(spark: SparkSession, folder: str) -> DataFrame:
-    """The part of each entry that its number of pages, put as a locator, names."""
-    number = F.regexp_extract(F.coalesce("pages", F.lit("0")), r"(\d+)", 1).try_cast("int") % 12
-    place = F.concat(F.lit("see Part "), F.coalesce(number, F.lit(0)).cast("string"), F.lit(", top"))
-    entry = _catalog(spark, folder).withColumn("locator", place)
-    return entry.select("source_key", "locator", C.named_part(F.col("parts"), F.col("locator")).alias("part"))
+    """The part of the cited source that each locator names."""
+    cited = table(spark, folder, "resolved_citations").select("cite_key", "locator").distinct()
+    # at most one row a pair on the left, one a key on the right
+    both = cited.join(_catalog(spark, folder).select(F.col("source_key").alias("cite_key"), "parts"), "cite_key")
+    return both.select("cite_key", "locator", C.named_part(F.col("parts"), F.col("locator")).alias("part"))
 
 
 def longest_prefix_match(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,8 +94,8 @@ def evidence_tags(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fence_mask(spark: SparkSession, folder: str) -> DataFrame:
-    """Each document inside a page that also has a fenced block."""
-    page = F.concat(F.lit("above\n```text\n[@hidden p.1]\n"), F.coalesce("source", F.lit("none")), F.lit("\n```\n"), F.col("doc_kind"))
+    """Each document's text with a fenced block before its last line."""
+    page = F.concat(F.col("text"), F.lit("\n```text\n[@hidden p.1]\n"), F.coalesce("source", F.lit("none")), F.lit("\n```\n"), F.col("doc_kind"))
     return table(spark, folder, "documents").select("doc_id", X.without_fences(page).alias("outside"))
 
 
@@ -200,12 +200,12 @@ SQL = {
     case when url is null and parts is null and held_by is null then 'no_place' end, case when evidence not in ('P', 'R', 'T') then 'unknown_evidence' end]) as code from r)
   select file_ord, row_ord, key, code, case when code in ('no_key', 'unknown_evidence') then 'error' else 'warning' end as severity from c where code is not null""",
     "unknown_keys": "select cite_key as key, count(*) as n_uses from resolved_citations where cite_key <> '' and cite_key not in (select source_key from bibliography where source_key is not null) group by cite_key",
-    "citation_extract": r"""with p as (select doc_id, regexp_extract_all(regexp_replace(text, '(?ms)^```.*?^```[^\n]*$', '', 'g'), '\[@([A-Za-z0-9][A-Za-z0-9._:-]*)((?:\s+[^\]]*)?)\]', 1) as k,
-  regexp_extract_all(regexp_replace(text, '(?ms)^```.*?^```[^\n]*$', '', 'g'), '\[@([A-Za-z0-9][A-Za-z0-9._:-]*)((?:\s+[^\]]*)?)\]', 2) as l from documents)
-  select doc_id, cast(i - 1 as int) as pos, k[i] as key, l[i] as locator from (select *, unnest(generate_series(1, len(k))) as i from p)""",
-    "citation_resolve": _CATALOG + r""", named as (select source_key, e.key as name, e.value as link from (select source_key, unnest(map_entries(parts)) as e from catalog)),
+    "citation_extract": r"""with p as (select doc_id, regexp_split_to_array(text, '(?ms)^```.*?^```[^\n]*$') as pieces from documents),
+  e as (select doc_id, flatten(list_transform(pieces, lambda x: regexp_extract_all(x, '\[@([A-Za-z0-9][A-Za-z0-9._:-]*)((?:\s+[^\]]*)?)\]', 1))) as k, flatten(list_transform(pieces, lambda x: regexp_extract_all(x, '\[@([A-Za-z0-9][A-Za-z0-9._:-]*)((?:\s+[^\]]*)?)\]', 2))) as l from p)
+  select doc_id, cast(i - 1 as int) as pos, k[i] as key, l[i] as locator from (select *, unnest(generate_series(1, len(k))) as i from e)""",
+    "citation_resolve": _CATALOG + r""", named as (select source_key, e.key as name, e.value as link, o from (select source_key, unnest(map_entries(parts)) as e, generate_subscripts(map_entries(parts), 1) as o from catalog)),
   cited as (select citation_id, coalesce(cite_key, '') as key, trim(coalesce(locator, '')) as place from resolved_citations),
-  matched as (select c.citation_id, arg_min(n.link, {'l': -length(n.name), 'n': n.name}) as link from cited c join named n on n.source_key = c.key and regexp_matches(' ' || lower(c.place) || ' ', '[^a-z0-9]' || regexp_escape(lower(n.name)) || '[^a-z0-9]') group by c.citation_id),
+  matched as (select c.citation_id, arg_min(n.link, {'l': -length(n.name), 'o': n.o}) as link from cited c join named n on n.source_key = c.key and regexp_matches(' ' || lower(c.place) || ' ', '[^a-z0-9]' || regexp_escape(lower(n.name)) || '[^a-z0-9]') group by c.citation_id),
   based as (select c.*, b.source_key is not null as found, coalesce(m.link, b.url) as base, b.title, b.file_format, b.held_by, b.date_raw, regexp_extract(c.place, '\bp\.?\s*(\d+)', 1) as pg
     from cited c left join catalog b on b.source_key = c.key left join matched m on m.citation_id = c.citation_id)
   select citation_id, case when found then case when (coalesce(file_format = 'pdf', false) or ends_with(lower(base), '.pdf')) and pg <> '' then base || '#page=' || pg else base end end as url,
@@ -215,15 +215,15 @@ SQL = {
     "footnote_numbers": _REFERENCES + "select page, first_pos, key, locator, n_uses, number from numbered",
     "footnote_uses": _REFERENCES + "select citation_id, row_number() over (partition by page, key, locator order by pos nulls first, citation_id) as use_no from refs",
     "reference_backlinks": _REFERENCES + """select page, number, key, locator, case when n_uses = 1 then '^' else array_to_string(list_transform(generate_series(1, n_uses), lambda n: case when n <= 26 then chr(cast(n + 96 as int)) else cast(n as varchar) end), ' ') end as back_links from numbered""",
-    "longest_word_match": _CATALOG + r""", placed as (select source_key, parts, 'see Part ' || cast(coalesce(try_cast(regexp_extract(coalesce(pages, '0'), '(\d+)', 1) as int) % 12, 0) as varchar) || ', top' as locator from catalog),
-  named as (select source_key, unnest(map_keys(parts)) as name from catalog),
-  best as (select p.source_key, arg_min(n.name, {'l': -length(n.name), 'n': n.name}) as part from placed p join named n on n.source_key = p.source_key and regexp_matches(' ' || lower(p.locator) || ' ', '[^a-z0-9]' || regexp_escape(lower(n.name)) || '[^a-z0-9]') group by p.source_key)
-  select p.source_key, p.locator, b.part from placed p left join best b on b.source_key = p.source_key""",
+    "longest_word_match": _CATALOG + r""", named as (select source_key, unnest(map_keys(parts)) as name, generate_subscripts(map_keys(parts), 1) as o from catalog),
+  pairs as (select distinct r.cite_key, r.locator from resolved_citations r join catalog on source_key = r.cite_key),
+  best as (select p.cite_key, p.locator, arg_min(n.name, {'l': -length(n.name), 'o': n.o}) as part from pairs p join named n on n.source_key = p.cite_key and regexp_matches(' ' || lower(p.locator) || ' ', '[^a-z0-9]' || regexp_escape(lower(n.name)) || '[^a-z0-9]') group by all)
+  select p.cite_key, p.locator, b.part from pairs p left join best b on b.cite_key = p.cite_key and b.locator = p.locator""",
     "longest_prefix_match": """with known as (select lower(term) as prefix, min(term) as term from glossary where contains(term, ' ') group by lower(term)),
   full_texts as (select entry_id, lower(concat_ws(' ', term, definition)) as t from owlmanac_2016)
   select entry_id, arg_max(term, length(prefix)) as term from full_texts join known on starts_with(t, prefix || ' ') group by entry_id""",
     "evidence_tags": "select evidence as evidence_class, count(*) as n_tags from bibliography where evidence in ('P', 'R', 'T') group by evidence",
-    "fence_mask": "select doc_id, 'above' || chr(10) || chr(10) || doc_kind as outside from documents",
+    "fence_mask": r"select doc_id, regexp_replace(text || chr(10) || '```text' || chr(10) || '[@hidden p.1]' || chr(10) || coalesce(source, 'none') || chr(10) || '```' || chr(10) || doc_kind, '(?ms)^```.*?^```[^\n]*$', '', 'g') as outside from documents",
     "citation_format": "select entry_id, case when coalesce(source_key, '') = '' then '' else '[@' || source_key || case when coalesce(locator, '') = '' then '' else ' ' || locator end || ']' end as citation from glossary",
     "path_to_citation": r"""with p as (select file_ord, row_ord, regexp_replace(replace(url, '\', '/'), '^https?://[^/]+/', '') as path from bibliography where url is not null)
   select file_ord, row_ord, case when regexp_full_match(path, '([a-z0-9-]+)\.(?:pdf|html|tsv)') then '[@' || regexp_extract(path, '^([a-z0-9-]+)\.', 1) || ']'

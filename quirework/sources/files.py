@@ -104,8 +104,3 @@ def strict(records: DataFrame, fields: list[str]) -> DataFrame:
 def setting(argument: str | None, variable: str, config: dict[str, str], key: str) -> str | None:
     """An argument, else an environment variable, else a configured value, else nothing."""
     return argument or os.environ.get(variable) or config.get(key)
-
-
-def sized(column: Column, most: int) -> Column:
-    """A value only if it has at most so many bytes."""
-    return F.when(F.octet_length(column) <= most, column)
