@@ -87,7 +87,7 @@ def test_column_starts(spark):
     column = lambda width: " ".join(r.choice(words) for _ in range(40))[: width - 2].ljust(width)
     rows = [(1, column(40) + " " * r.randrange(2) + column(40) + column(30)) for _ in range(30)] + [(2, column(60)) for _ in range(30)] + [(3, column(40) + column(40)) for _ in range(3)] + [(4, ""), (5, None)]
     found = {x.page: x.starts for x in L.column_starts(spark.createDataFrame(rows, "page int, t string"), ["page"], "t").collect()}
-    assert found[1][0] in (40, 41) and 80 <= found[1][1] <= 82 and found[2] == [] and found[3] == []
+    assert 38 <= found[1][0] <= 41 and 78 <= found[1][1] <= 82 and found[2] == [] and found[3] == []
 
 
 def test_terms_that_open_their_line(spark):
