@@ -25,3 +25,13 @@ def join_keyed(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: i
     with_hot = rows.join(F.broadcast(hot), key)
     with_cold = rows.join(marked, key, "left_anti").join(cold, key)
     return with_hot.unionByName(with_cold)
+
+
+#: Rows of a table that may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A table for the other side of a join, broadcast only where it was counted to be small. Count
+    a written table: any other is computed for the count as well."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

@@ -31,11 +31,20 @@ def test_against_brute_force_with_a_hot_key(spark):
     children = [(i, r.choice(keys), day(r.randrange(400)) if r.random() < 0.97 else None, "x") for i in range(600)]
     begun = [r.randrange(380) for _ in range(40)]
     parents = [(r.choice(["hot", "a", "b"]), day(s) if r.random() < 0.95 else None, day(s + r.randrange(9)) if r.random() < 0.9 else None, 1) for s in begun]
-    for group_rows in (10**6, 20):
-        found = orphan_references(references(spark, children, parents), group_rows).collect()
+    # no key hot; hot keys with a list of steps; hot keys in spans of time
+    for group_rows, most_steps in ((10**6, 200), (20, 200), (20, 0), (1, 3)):
+        found = orphan_references(references(spark, children, parents), group_rows, most_steps).collect()
         assert sorted(x.row_id for x in found) == sorted(brute(children, parents))
 
 
+def test_all_rows_of_a_key_at_one_time(spark):
+    children = [(i, "k", day(5), "") for i in range(50)] + [(99, "k", day(4), "")]
+    parents = [("k", day(5), None, 0), ("k", day(1), day(2), 0)]
+    for group_rows, most_steps in ((10**6, 200), (5, 200), (5, 1)):
+        found = orphan_references(references(spark, children, parents), group_rows, most_steps).collect()
+        assert [(r.row_id, r.state) for r in found] == [(99, "removed")]
+
+
 def test_states_ties_and_repeats(spark):
     parents = [("k", day(10), day(20), 0), ("k", day(10), day(20), 0), ("late", day(50), None, 0)]
     children = [(1, "k", day(9), ""), (2, "k", day(10), ""), (3, "k", day(20), ""), (3, "k", day(20), ""), (4, "late", day(40), ""), (5, "never", day(1), ""), (6, None, day(1), "")]
