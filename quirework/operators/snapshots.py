@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirework.session import written
+
 
 def latest_rows(
     snapshots: DataFrame, snapshot: str, key: str, order: str, values: list[str]
@@ -37,7 +39,7 @@ def changes(snapshots: DataFrame, snapshot: str, key: str, order: str, values: l
     last one there is. An empty table or a single snapshot gives no rows. Values compare as
     stored, null only equal to null.
     """
-    latest = latest_rows(snapshots, snapshot, key, order, values)
+    latest = written(latest_rows(snapshots, snapshot, key, order, values), "latest-rows")
     # one row for each delivery: as few as there are periods, so it is broadcast
     numbers = latest.select("snapshot_no").distinct()
     pairs = numbers.select(
