@@ -241,6 +241,13 @@ def page_url(path: Column, base: str) -> Column:
     return F.concat(F.lit(base), F.regexp_replace(bare, "(^|/)index/$", "$1"))
 
 
+def shows_actions(path: Column, front: Column) -> Column:
+    """Whether a page shows its actions: not the home page, not those of about/, not one whose front
+    matter says page_actions: false."""
+    told = F.coalesce(F.lower(F.try_element_at(front, F.lit("page_actions"))), F.lit("true"))
+    return (path != "index.md") & ~path.startswith("about/") & ~told.isin("false", "no", "off")
+
+
 def archived_link(url: Column, direct: list[str], archive: str = "https://web.archive.org/web/2/") -> Column:
     """The link through the archive, unless its address starts with one of the prefixes or has
     one after a scheme."""

@@ -69,3 +69,27 @@ def unknown_keys(used: DataFrame, key: str, catalog: DataFrame, catalog_key: str
     key is joined once."""
     counts = used.where(F.coalesce(key, F.lit("")) != "").groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n_uses"))
     return counts.join(catalog.select(F.col(catalog_key).alias("key")).distinct(), "key", "left_anti")
+
+
+def required(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows; a column that is missing raises, with the names of all that are."""
+    if gone := [c for c in columns if c not in rows.columns]:
+        raise ValueError(f"columns {gone} are missing; there are {rows.columns}")
+    return rows
+
+
+def kept_rows(rows: DataFrame, keep: str, title: str) -> DataFrame:
+    """The rows that are marked to be kept (y or yes, whatever the case and the space around), with
+    is_reported: those without a title are reported instead of used. Null marks keep nothing."""
+    required(rows, [keep, title])
+    marked = F.lower(F.trim(F.coalesce(keep, F.lit("")))).isin("y", "yes")
+    return rows.where(marked).withColumn("is_reported", F.trim(F.coalesce(title, F.lit(""))) == "")
+
+
+def issue_dates(lines: DataFrame, line: str, order: list[str], prefix: str) -> DataFrame:
+    """paper and issued from tab-separated lines among others: two fields or more, an id that starts
+    with the prefix, a date as yyyy-mm-dd. Of lines with one id the last by order wins."""
+    parts = F.split(line, "\t", -1)
+    dated = (F.size(parts) >= 2) & F.get(parts, F.lit(0)).startswith(prefix) & F.get(parts, F.lit(1)).rlike(r"^\d{4}-\d{2}-\d{2}$")
+    valid = lines.where(dated).select(F.get(parts, F.lit(0)).alias("paper"), F.get(parts, F.lit(1)).alias("issued"), *order)
+    return one_of_each(valid, ["paper"], order).select("paper", "issued")

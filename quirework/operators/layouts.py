@@ -12,7 +12,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 import numpy as np
 import pandas as pd
@@ -259,13 +259,15 @@ def peaks(starts: DataFrame, group: list[str], n_columns: int, separation: int)
     return grouped.select(*group, F.slice(F.filter(F.array_sort(chosen), lambda o: o > 5), 1, n_columns - 1).alias("offsets"))
 
 
-def offset_shares(lines: DataFrame, group: list[str], line: str, offsets: list[int]) -> DataFrame:
+def offset_shares(lines: DataFrame, group: list[str], line: str, offsets: list[int], window: int = 1) -> DataFrame:
     """group, offset, cut_share and start_share of the lines that reach past each offset: with a
-    word across it, with a word that starts at it. Under five such lines all are cut, none start."""
+    word across it, with a word that starts at it or within `window` characters from it. Under
+    five such lines all are cut, none start."""
     text = F.rtrim(F.col(line))
     each = lines.select(*group, text.alias("_t"), F.explode(F.array(*map(F.lit, offsets))).alias("offset")).where(F.length("_t") > F.col("offset"))
     across = ~F.contains(F.substr("_t", F.greatest(F.col("offset") - 1, F.lit(1)), F.lit(3)), F.lit(" "))
-    starts = (F.substr("_t", F.col("offset") + 1, F.lit(1)) != " ") & (F.substr("_t", F.col("offset"), F.lit(1)) == " ")
+    start = lambda k: (F.substr("_t", F.col("offset") + k + 1, F.lit(1)) > " ") & (F.substr("_t", F.col("offset") + k, F.lit(1)) == " ")
+    starts = reduce(or_, map(start, range(window)))
     few = F.count("*") < 5
     return each.groupBy(*group, "offset").agg(
         F.when(few, 1.0).otherwise(F.count_if(across) / F.count("*")).alias("cut_share"), F.when(few, 0.0).otherwise(F.count_if(starts) / F.count("*")).alias("start_share")

@@ -13,18 +13,32 @@ from quirework.functions.text import slugify
 from quirework.operators.ordered import one_of_each, running_number, running_sum
 
 
-def sniff(lines: DataFrame, file: str, row_ord: str, line: str, header: list[str]) -> DataFrame:
+def sniff(lines: DataFrame, file: str, row_ord: str, line: str, header: list[str], prefix: str = "") -> DataFrame:
     """file, n_lines and layout of each file of tab-separated lines: `records` if its first line
-    has the header's names first, `pairs` if every line has two fields, else `skipped`. Null lines
-    count as empty. One aggregation; no file is gathered."""
+    has the header's names first, `pairs` if every line has two fields, the second an address that
+    starts with the prefix, else `skipped`. Null lines count as empty. One aggregation; no file is
+    gathered."""
     fields = F.split(F.coalesce(line, F.lit("")), "\t", -1)
     first = F.min_by(F.slice(fields, 1, len(header)), F.col(row_ord))
-    pairs = F.bool_and(F.size(fields) == 2)
+    pairs = F.bool_and((F.size(fields) == 2) & F.coalesce(F.get(fields, F.lit(1)), F.lit("")).startswith(prefix))
     grouped = lines.groupBy(file).agg(F.count("*").alias("n_lines"), first.alias("_first"), pairs.alias("_pairs"))
     layout = F.when(F.col("_first") == F.array(*map(F.lit, header)), "records").when(F.col("_pairs"), "pairs").otherwise("skipped")
     return grouped.select(file, "n_lines", layout.alias("layout"))
 
 
+def sniffed_union(lines: DataFrame, file: str, row_ord: str, line: str, header: list[str], prefix: str = "", only: str | None = None) -> DataFrame:
+    """file, layout and the header's fields of the lines of all files that sniff() can read: of
+    records the lines after the first, of pairs their two fields (the others null). only keeps a
+    folder: files of that name or below it."""
+    kept = lines if only is None else lines.where((F.col(file) == only) | F.col(file).startswith(only.rstrip("/") + "/"))
+    told = sniff(kept, file, row_ord, line, header, prefix).where("layout <> 'skipped'")
+    first = kept.groupBy(F.col(file).alias("_file")).agg(F.min(row_ord).alias("_first"))
+    # one row a file on the right
+    both = kept.join(told.join(first, F.col(file) == F.col("_file")).select(file, "layout", "_first"), file)
+    fields = F.split(F.coalesce(line, F.lit("")), "\t", -1)
+    return both.where((F.col("layout") == "pairs") | (F.col(row_ord) > F.col("_first"))).select(file, "layout", *(F.get(fields, F.lit(k)).alias(name) for k, name in enumerate(header)))
+
+
 def missing(listed: DataFrame, there: DataFrame, key: str) -> DataFrame:
     """The listed rows whose key isn't there; null keys are never there."""
     return listed.join(there.select(key).distinct(), key, "left_anti").select(*listed.columns)

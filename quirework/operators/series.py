@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirework.functions.text import normalise_definition, normalise_term
 from quirework.operators.ordered import one_of_each
+from quirework.session import written
 
 #: The year of an edition without one: it sorts last.
 NO_YEAR = 9999
@@ -51,6 +52,29 @@ def recurrence(lined: DataFrame) -> DataFrame:
     return grouped.select("key", F.col("first.term").alias("first_spelling"), "n_editions", kind.alias("kind"), "years")
 
 
+def display_order(lined: DataFrame) -> DataFrame:
+    """key, kind and place (from 1 in its kind): recurring and one-off terms by their first spelling
+    whatever the case; equal ones in the order in which they were first seen. Numbered after one
+    sort over ranges, so no kind is one task's."""
+    first = lined.groupBy("key").agg(F.min(F.struct("position", "file_ord", "row_ord", "term")).alias("first"), F.count("*").alias("n"))
+    kind = F.when(F.col("n") > 1, "recurring").otherwise("one-off")
+    named = first.select("key", kind.alias("kind"), F.lower("first.term").alias("shown"), F.struct("first.position", "first.file_ord", "first.row_ord").alias("seen"))
+    order = ["kind", "shown", "seen", "key"]
+    # one row a key, cut in even ranges; what a range counts is one row a range and kind
+    ranged = written(named.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "display-order")
+    counts = ranged.groupBy("kind", "_part").agg(F.count("*").alias("_rows"))
+    earlier = Window.partitionBy("kind").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("kind", "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("kind", "_part").orderBy("shown", "seen", "key"))
+    return ranged.withColumn("_own", own).join(offsets, ["kind", "_part"]).select("key", "kind", (F.col("_own") + F.col("_before")).alias("place"))
+
+
+def one_offs_by_year(lined: DataFrame) -> DataFrame:
+    """year, n_terms and terms (first spellings in order) of the terms that one edition alone has."""
+    once = lined.groupBy("key").agg(F.count("*").alias("n"), F.min("year").alias("year"), F.min(F.struct("position", "term"))["term"].alias("term")).where("n = 1")
+    return once.groupBy("year").agg(F.count("*").alias("n_terms"), F.array_join(F.array_sort(F.collect_list("term")), "; ").alias("terms"))
+
+
 def neighbour_changes(lined: DataFrame) -> DataFrame:
     """position (of the later edition), key and change (added, dropped or reworded) between each
     edition and the one before. A definition is reworded if its normalised form differs; null
@@ -73,7 +97,11 @@ def neighbour_changes(lined: DataFrame) -> DataFrame:
 
 
 def pair_report(lined: DataFrame, old: str, new: str) -> DataFrame:
-    """key, change, old and new definition of two named editions."""
+    """key, change, old and new definition of two named editions; an edition that isn't there is an
+    error that names those that are."""
+    known = sorted(r[0] for r in lined.select("edition").distinct().collect())
+    if missing := [e for e in (old, new) if e not in known]:
+        raise ValueError(f"no edition {missing}; there are {known}")
     sides = [lined.where(F.col("edition") == e).select("key", F.lit(True).alias(f"in_{s}"), F.col("definition").alias(f"{s}_definition")) for e, s in ((old, "old"), (new, "new"))]
     both = sides[0].join(sides[1], "key", "full_outer")
     same = normalise_definition(F.col("old_definition")).eqNullSafe(normalise_definition(F.col("new_definition")))

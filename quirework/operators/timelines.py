@@ -104,3 +104,11 @@ def geometry(segmented: DataFrame, axis: DataFrame, block: str) -> DataFrame:
         *segmented.columns, F.when(F.col("is_marker"), point).otherwise(left).alias("left_percent"), F.when(~F.col("is_marker"), bar_width).alias("width_percent"),
         (~F.col("is_marker") & (drawn > F.col("first_year"))).alias("is_clipped"), (F.col("segment_no") % 2 == 1).alias("is_alternate"), dates.alias("dates"),
     )
+
+
+def tight_rows(segmented: DataFrame, axis: DataFrame, block: str) -> DataFrame:
+    """block, line_no and is_tight of each row of a timeline: several segments, one of which is a
+    bar that shows under four years of the axis."""
+    both = segmented.join(axis.select(block, "start_year"), block)
+    shown = F.col("last_year") - F.greatest("first_year", "start_year") + 1
+    return both.groupBy(block, "line_no").agg(((F.count("*") > 1) & F.bool_or((shown < 4) & ~F.col("is_point"))).alias("is_tight"))

@@ -145,6 +145,17 @@ def offset_shares(spark: SparkSession, folder: str) -> DataFrame:
     return L.offset_shares(_wide(spark, folder), ["doc", "page"], "line", [35, 40, 60, 80])
 
 
+def offset_shares_near(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, where a word may start up to two characters on."""
+    return L.offset_shares(_wide(spark, folder), ["doc", "page"], "line", [35, 40, 60, 80], 3)
+
+
+def timeline_tight(spark: SparkSession, folder: str) -> DataFrame:
+    blocks = _blocks(spark, folder)
+    found = T.segments(blocks, "gallery_key", "body", THIS_YEAR)
+    return T.tight_rows(found, T.axes(blocks, "gallery_key", "body", found, THIS_YEAR), "gallery_key")
+
+
 def phrase_locate(spark: SparkSession, folder: str) -> DataFrame:
     """Lines with the phrase; line_no is the page where a text has form feeds."""
     found = L.phrase_lines(table(spark, folder, "documents"), "doc_id", "text", "the gardener")
@@ -220,8 +231,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         furniture_filter, term_heuristic, next_text_line, parse_numbered, parse_indent, parse_para, parse_inline, parse_colon, parse_plain, layout_argmax,
-        cursor_locate, cursor_locate_colon, column_cut, column_cut_indent, column_cut_smart, column_starts, assign_columns, offset_histogram, offset_peaks, offset_shares, phrase_locate, dehyphenate, ligatures,
-        shortened, shifted_decode, readability, entry_warnings, multi_value_split, timeline_parse, timeline_axis, timeline_geometry,
+        cursor_locate, cursor_locate_colon, column_cut, column_cut_indent, column_cut_smart, column_starts, assign_columns, offset_histogram, offset_peaks, offset_shares, offset_shares_near, phrase_locate, dehyphenate, ligatures,
+        shortened, shifted_decode, readability, entry_warnings, multi_value_split, timeline_parse, timeline_axis, timeline_geometry, timeline_tight,
     )
 }
 
@@ -321,6 +332,9 @@ marked as (select *, trim(text) <> '' and not regexp_matches(trim(text), '^[0-9]
     "offset_shares": _WIDE + """, e as (select doc, page, line, unnest([35, 40, 60, 80]) as "offset" from wide)
   select doc, page, "offset", case when count(*) < 5 then 1.0 else count(*) filter (not contains(substr(line, greatest("offset" - 1, 1), 3), ' ')) / count(*) end as cut_share,
     case when count(*) < 5 then 0.0 else count(*) filter (substr(line, "offset" + 1, 1) <> ' ' and substr(line, "offset", 1) = ' ') / count(*) end as start_share from e where length(line) > "offset" group by doc, page, "offset" """,
+    "offset_shares_near": _WIDE + """, e as (select doc, page, line, unnest([35, 40, 60, 80]) as "offset" from wide)
+  select doc, page, "offset", case when count(*) < 5 then 1.0 else count(*) filter (not contains(substr(line, greatest("offset" - 1, 1), 3), ' ')) / count(*) end as cut_share,
+    case when count(*) < 5 then 0.0 else count(*) filter (regexp_matches(substr(line, "offset", 4), '^ [^ ]|^. [^ ]|^.. [^ ]')) / count(*) end as start_share from e where length(line) > "offset" group by doc, page, "offset" """,
     "phrase_locate": r"""select doc_id, cast(i as int) as line_no, substr(trim(l[i]), 1, 160) as line from (select doc_id, l, unnest(generate_series(1, len(l))) as i from (select doc_id, regexp_split_to_array(text, '\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]') as l from documents where text is not null)) where contains(lower(l[i]), 'the gardener')""",
     "ligatures": """select entry_id, replace(replace(replace(replace(replace(replace(replace(term, 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), chr(173), ''), chr(65279), '') as term,
   replace(replace(replace(replace(replace(replace(replace(definition, 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), chr(173), ''), chr(65279), '') as definition from glossary""",
@@ -334,6 +348,7 @@ marked as (select *, trim(text) <> '' and not regexp_matches(trim(text), '^[0-9]
     "multi_value_split": "select label, count(*) as n_uses from (select unnest(list_filter(string_split(concat_ws('; ', entry_type, file_format, '', evidence), '; '), lambda x: x <> '')) as label from bibliography) group by label",
     "timeline_parse": _YEARS + "select *, last_year < first_year as is_reversed from segs",
     "timeline_axis": _YEARS + "select gallery_key, start_year, end_year, 5 as step, array_to_string(generate_series(2015, end_year, 5), ',') as ticks from axis",
+    "timeline_tight": _YEARS + "select gallery_key, line_no, count(*) > 1 and bool_or(last_year - greatest(first_year, start_year) + 1 < 4 and not is_point) as is_tight from segs join axis using (gallery_key) group by gallery_key, line_no",
     "timeline_geometry": _YEARS + """select gallery_key, line_no, segment_no, round(case when is_marker then (first_year - start_year) * 100.0 / (end_year + 1 - start_year) + 50.0 / (end_year + 1 - start_year) else (greatest(first_year, start_year) - start_year) * 100.0 / (end_year + 1 - start_year) end, 6) as left_percent,
   round(case when not is_marker then (least(last_year, end_year) + 1 - start_year) * 100.0 / (end_year + 1 - start_year) - (greatest(first_year, start_year) - start_year) * 100.0 / (end_year + 1 - start_year) end, 6) as width_percent,
   not is_marker and start_year > first_year as is_clipped, segment_no % 2 = 1 as is_alternate, case when is_marker or (first_year = last_year and not is_open) then cast(first_year as varchar) else first_year || '–' || case when is_open then 'now' else cast(last_year as varchar) end end as dates from segs join axis using (gallery_key)""",

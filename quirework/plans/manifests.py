@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quirework.functions import text as X
 from quirework.operators import manifests as M
-from quirework.operators.shapes import judge
+from quirework.operators.catalog import kept_rows
+from quirework.operators.shapes import commonest, in_place, judge, report
+from quirework.sources.files import front_matter
 from quirework.sources.tables import table
 
 HEADER = ["term", "definition", "source_key", "locator"]
@@ -23,6 +25,41 @@ def manifest_sniff(spark: SparkSession, folder: str) -> DataFrame:
     return M.sniff(table(spark, folder, "owlmanac_raw"), "file_name", "row_ord", "raw_line", HEADER)
 
 
+def manifest_union(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of all files that can be read, in one table."""
+    found = M.sniffed_union(table(spark, folder, "owlmanac_raw"), "file_name", "row_ord", "raw_line", HEADER)
+    return found.select("file_name", "layout", "term", "source_key")
+
+
+def kept_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Placements that are marked to be kept, by a mark in any writing, and those without a title."""
+    marks = F.element_at(F.array(*map(F.lit, ("y", " Yes", "no", "", "YES ", "true", "Y"))), (F.col("placement_id") % 8 + 1).cast("int"))
+    rows = table(spark, folder, "placements").where("placement_id % 8 < 7").select("placement_id", marks.alias("keep"), F.col("caption").alias("title"))
+    return kept_rows(rows, "keep", "title").select("placement_id", "is_reported")
+
+
+def _glyphs(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    shape = F.floor(F.element_at("embedding", 1) * 40).cast("string")
+    return rows.select((F.col("vec_id") % 10).alias("font"), shape.alias("shape"), F.col("label").cast("string").alias("extracted"), F.lit(1).cast("bigint").alias("n"), F.col("vec_id").alias("ord"))
+
+
+def shape_report(spark: SparkSession, folder: str) -> DataFrame:
+    return report(shape_vote(spark, folder)).select("place", "font", "broken")
+
+
+def shape_commonest(spark: SparkSession, folder: str) -> DataFrame:
+    return commonest(_glyphs(spark, folder)).select("font", "shape", "n", "place")
+
+
+def shape_in_place(spark: SparkSession, folder: str) -> DataFrame:
+    """Embeddings as glyphs by number; the standard order has every other label."""
+    rows = table(spark, folder, "embeddings")
+    glyph = F.floor(F.col("vec_id") / 10)
+    standard = table(spark, folder, "embeddings").where("vec_id % 10 = 0").select(glyph.alias("glyph"), F.col("label").cast("string").alias("meant"))
+    return in_place(rows.select((F.col("vec_id") % 10).alias("font"), glyph.alias("glyph"), F.col("label").cast("string").alias("meant")), standard)
+
+
 def manifest_missing(spark: SparkSession, folder: str) -> DataFrame:
     placed = table(spark, folder, "placements").select("placement_id", "photo_subpath")
     return M.missing(placed, _photos(spark, folder), "photo_subpath")
@@ -76,10 +113,13 @@ def page_url(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_actions(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether a page shows its actions: not the home page, not about/."""
+    """Whether a page shows its actions: not the home page, not about/, not where its front matter
+    says so (here that of pages whose name has an x)."""
     path = F.col("page")
     pages = table(spark, folder, "resolved_citations").select("page").distinct()
-    shown = (path != "index.md") & ~path.startswith("about/")
+    told = F.when(F.contains(path, F.lit("x")), F.lit("page_actions: false")).otherwise("title: a")
+    pages = front_matter(pages.withColumn("text", F.concat(F.lit("---\n"), told, F.lit("\n---\nbody"))), "text")
+    shown = X.shows_actions(path, F.col("front"))
     title = F.url_encode(F.regexp_replace(path, r"\.md$", ""))
     return pages.select("page", shown.alias("shown"), F.when(shown, title).alias("title"))
 
@@ -96,15 +136,15 @@ def html_to_text(spark: SparkSession, folder: str) -> DataFrame:
     """Each entry put into a page and back to text."""
     page = F.concat(
         F.lit("<html><head><script>var a = '<p>';</script></head><body><!-- no --><h1 class=\"x\">"), F.coalesce("term", F.lit("")),
-        F.lit("</h1><p>"), F.replace(F.coalesce("locator", F.lit("none")), F.lit("."), F.lit(".&nbsp;")), F.lit("<br/>next &lt;line&gt; &amp; more</p ><ul><li>one</li><li>two</li></ul></body></html>"),
+        F.lit("</h1><p>"), F.replace(F.coalesce("locator", F.lit("none")), F.lit("."), F.lit(".&nbsp;")), F.lit(" "), X.html_escape(F.regexp_replace(F.coalesce("definition", F.lit("")), r"(?U)\s+", "_")), F.lit("<br/>next &lt;line&gt; &amp; more</p ><ul><li>one</li><li>two</li></ul></body></html>"),
     )
     return table(spark, folder, "glossary_rows").select("row_id", X.html_to_text(page).alias("text"))
 
 
 def link_extract(spark: SparkSession, folder: str) -> DataFrame:
-    entry = table(spark, folder, "bibliography")
-    page = F.concat(F.lit('<a href="'), F.coalesce("url", F.lit("none.html")), F.lit('">x</a> <a href=\'y\'>'))
-    return entry.select("file_ord", "row_ord", F.explode(X.links(page)).alias("link"))
+    cited = table(spark, folder, "resolved_citations")
+    page = F.concat(F.lit('<a href="'), F.coalesce("url", F.lit("none.html")), F.lit('">'), F.coalesce("label", F.lit("")), F.lit("</a> <a href='y'>"))
+    return cited.select("citation_id", F.explode(X.links(page)).alias("link"))
 
 
 def bytes_decode(spark: SparkSession, folder: str) -> DataFrame:
@@ -169,7 +209,7 @@ def shape_vote(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        manifest_sniff, manifest_missing, manifest_plan, checksum_dedupe, keyed_update, delimiter_audit, slugs, slug_collisions, groups_with_empty,
+        manifest_sniff, manifest_union, kept_questions, shape_report, shape_commonest, shape_in_place, manifest_missing, manifest_plan, checksum_dedupe, keyed_update, delimiter_audit, slugs, slug_collisions, groups_with_empty,
         photo_credit, page_url, page_actions, signed_limit, html_escape, html_to_text, link_extract, bytes_decode, version_table, link_verdict,
         link_report, fetch_state, backoff, shape_vote,
     )
@@ -185,6 +225,13 @@ judged as (select *, case when error is not null then false when kind = 'capture
 
 SQL = {
     "manifest_sniff": "select file_name, count(*) as n_lines, case when arg_min(list_slice(string_split(coalesce(raw_line, ''), chr(9)), 1, 4), row_ord) = ['term', 'definition', 'source_key', 'locator'] then 'records' when bool_and(len(string_split(coalesce(raw_line, ''), chr(9))) = 2) then 'pairs' else 'skipped' end as layout from owlmanac_raw group by file_name",
+    "manifest_union": """with told as (select file_name, min(row_ord) as f, case when arg_min(list_slice(string_split(coalesce(raw_line, ''), chr(9)), 1, 4), row_ord) = ['term', 'definition', 'source_key', 'locator'] then 'records' when bool_and(len(string_split(coalesce(raw_line, ''), chr(9))) = 2) then 'pairs' else 'skipped' end as layout from owlmanac_raw group by file_name)
+  select r.file_name, layout, string_split(coalesce(raw_line, ''), chr(9))[1] as term, string_split(coalesce(raw_line, ''), chr(9))[3] as source_key from owlmanac_raw r join told using (file_name) where layout = 'pairs' or (layout = 'records' and row_ord > f)""",
+    "kept_questions": "select placement_id, trim(coalesce(caption, '')) = '' as is_reported from placements where placement_id % 8 in (0, 1, 4, 6)",
+    "shape_report": "select row_number() over (order by not broken, font) as place, font, broken from (" + "@VOTE" + ")",
+    "shape_commonest": "select * from (select font, shape, n, row_number() over (partition by font order by n desc, shape) as place from (select vec_id % 10 as font, cast(cast(floor(embedding[1] * cast(40 as float)) as bigint) as varchar) as shape, count(*) as n from embeddings group by all)) where place <= 120",
+    "shape_in_place": """select e.vec_id % 10 as font, count(*) as n_checked, count(*) filter (e.label = s.label) as n_in_place, count(*) >= 3 and count(*) filter (e.label = s.label) * 10 >= count(*) * 9 as follows
+  from embeddings e join embeddings s on s.vec_id % 10 = 0 and s.vec_id // 10 = e.vec_id // 10 group by e.vec_id % 10""",
     "manifest_missing": _PHOTOS + " select placement_id, photo_subpath from placements p where not exists (select 1 from photos f where f.photo_subpath = p.photo_subpath)",
     "manifest_plan": _PHOTOS + """, m as (select split_part(photo_subpath, '/', 1) as folder, photo_subpath in (select photo_subpath from photos where photo_subpath is not null) as there from placements where photo_subpath <> '')
   select folder, count(*) as n_listed, count(*) filter (not there) as n_missing, count(*) filter (not there) * 5 as seconds from m group by folder""",
@@ -200,10 +247,10 @@ SQL = {
     "groups_with_empty": "select g.gallery_key, count(p.placement_id) as n_items from (select distinct gallery_key from galleries) g left join placements p on p.gallery_key = g.gallery_key group by g.gallery_key",
     "photo_credit": "select placement_id, concat_ws(' — ', nullif(credit_plain, ''), nullif(array_to_string(list_transform(regexp_extract_all(credit_citation, '\\[@([A-Za-z0-9][A-Za-z0-9._:-]*)', 1), lambda k: '@' || k), '; '), '')) as credit from placements",
     "page_url": "select gallery_key, 'https://site.example/' || regexp_replace(regexp_replace(page_path, '\\.md$', '/'), '(^|/)index/$', '\\1') as url from galleries",
-    "page_actions": "select page, page <> 'index.md' and not starts_with(page, 'about/') as shown, case when page <> 'index.md' and not starts_with(page, 'about/') then url_encode(regexp_replace(page, '\\.md$', '')) end as title from (select distinct page from resolved_citations)",
+    "page_actions": "select page, page <> 'index.md' and not starts_with(page, 'about/') and not contains(page, 'x') as shown, case when page <> 'index.md' and not starts_with(page, 'about/') and not contains(page, 'x') then url_encode(regexp_replace(page, '\\.md$', '')) end as title from (select distinct page from resolved_citations)",
     "signed_limit": "select file_ord, row_ord from (select file_ord, row_ord, row_number() over (order by file_ord desc, row_ord desc) as k from bibliography) where k > 25",
     "html_escape": "select entry_id, '&lt;b&gt;' || replace(replace(replace(replace(replace(concat_ws(' ', term, definition), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') || '&lt;/b&gt; &amp; &#x27;' as escaped from owlmanac_2016",
-    "link_extract": "select file_ord, row_ord, url as link from bibliography where regexp_matches(url, '^https?://')",
+    "link_extract": "select citation_id, url as link from resolved_citations where regexp_matches(url, '^https?://')",
     "bytes_decode": """with t as (select doc_id, case when doc_id % 3 = 0 then regexp_replace(text, '[^\\x{00}-\\x{7E}\\x{A0}-\\x{FF}]', '-', 'g') || ' é' else text end as t from documents) select doc_id, length(t) as n_chars, md5(t) as digest from t""",
     "version_table": """with g as (select snapshot_no, min(snapshot_date) as day, count(*) as n from owlmanac_snapshots group by 1),
   r as (select day, '| ' || cast(day as varchar) || ' | delivery-' || snapshot_no || ' | ' || n || ' rows | a.md, b.md |' as row_text from g where snapshot_no <> 1)
@@ -221,5 +268,6 @@ SQL = {
   read as (select font, shape, arg_max(extracted, {'n': n, 'f': -f}) as extracted from sums group by font, shape),
   j as (select font, count(*) as n_matched, count(*) filter (extracted is not distinct from meant) as n_agreeing from read join ref using (shape) group by font)
   select font, n_matched, n_agreeing, n_matched >= 3 and n_agreeing * 2 < n_matched as broken from j""",
-    "html_to_text": """select row_id, regexp_replace('# ' || coalesce(term, '') || chr(10) || ' ' || replace(coalesce(locator, 'none'), '.', '. ') || chr(10), '[ \\t\\r\\x{A0}]+', ' ', 'g') || 'next <line> & more - one' || chr(10) || '- two' as text from glossary_rows""",
+    "html_to_text": """select row_id, regexp_replace('# ' || coalesce(term, '') || chr(10) || ' ' || replace(coalesce(locator, 'none'), '.', '. ') || ' ' || regexp_replace(coalesce(definition, ''), '[\\s\\v\\x{85}\\p{Z}]+', '_', 'g') || chr(10), '[ \\t\\r\\x{A0}]+', ' ', 'g') || 'next <line> & more - one' || chr(10) || '- two' as text from glossary_rows""",
 }
+SQL["shape_report"] = SQL["shape_report"].replace("@VOTE", SQL["shape_vote"])

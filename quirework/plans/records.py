@@ -103,19 +103,6 @@ def citation_format(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "glossary").select("entry_id", X.format_citation(F.col("source_key"), F.col("locator")).alias("citation"))
 
 
-def path_to_citation(spark: SparkSession, folder: str) -> DataFrame:
-    """The citation of every archived address, by the first rule that its path fits."""
-    path = F.regexp_replace(F.replace("url", F.lit("\\"), F.lit("/")), r"^https?://[^/]+/", "")
-    file, part = F.regexp_extract(path, r"^([a-z0-9-]+)\.(?:pdf|html|tsv)$", 1), F.regexp_extract(path, r"^([a-z0-9-]+)/([0-9]+)$", 1)
-    number = F.regexp_extract(path, r"^([a-z0-9-]+)/([0-9]+)$", 2)
-    cited = (
-        F.when(file != "", F.concat(F.lit("[@"), file, F.lit("]")))
-        .when(part != "", F.concat(F.lit("[@"), part, F.lit(" part "), number, F.lit("]")))
-        .otherwise(F.concat(F.lit("(no rule for "), path, F.lit(")")))
-    )
-    return table(spark, folder, "bibliography").where("url is not null").select("file_ord", "row_ord", cited.alias("citation"))
-
-
 def _targets(spark: SparkSession, folder: str) -> DataFrame:
     """cited_in, url, src_ord and item: catalog addresses and parts, then those of the pages. An
     address with a wildcard is left out, a part with one is not."""
@@ -148,12 +135,18 @@ def url_target(spark: SparkSession, folder: str) -> DataFrame:
     return entries.select("source_key", stamp.alias("stamp"), original.alias("original"))
 
 
+#: What the ids of dated papers start with.
+PAPERS = "w"
+
+
+def issues(spark: SparkSession, folder: str) -> DataFrame:
+    lines = table(spark, folder, "bibliography").select(F.concat_ws("\t", "source_key", "date_raw", "entry_type").alias("line"), "file_ord", "row_ord")
+    return K.issue_dates(lines, "line", ["file_ord", "row_ord"], PAPERS)
+
+
 def issue_date_dim(spark: SparkSession, folder: str) -> DataFrame:
     """Dates of papers from lines of two columns among other lines, the later line of a key winning."""
-    lines = table(spark, folder, "bibliography").select(F.concat_ws("\t", "source_key", "date_raw", "entry_type").alias("line"), "file_ord", "row_ord")
-    parts = F.split("line", "\t")
-    valid = lines.where((F.size(parts) >= 2) & F.get(parts, 1).rlike(r"^\d{4}-\d{2}-\d{2}$")).select(F.get(parts, 0).alias("paper"), F.get(parts, 1).alias("issued"), "file_ord", "row_ord")
-    return one_of_each(valid, ["paper"], ["file_ord", "row_ord"]).select("paper", "issued")
+    return issues(spark, folder)
 
 
 def nearest_capture(spark: SparkSession, folder: str) -> DataFrame:
@@ -169,7 +162,7 @@ QUERIES = {
     for f in (
         catalog_last_wins, catalog_grouped, catalog_detail, catalog_dates, strict_records, unknown_keys, citation_extract, citation_resolve,
         footnote_numbers, footnote_uses, reference_backlinks, longest_word_match, longest_prefix_match, evidence_tags, fence_mask, citation_format,
-        path_to_citation, first_wins_targets, wildcard_exclude, archive_rewrite, url_target, issue_date_dim, nearest_capture,
+        first_wins_targets, wildcard_exclude, archive_rewrite, url_target, issue_date_dim, nearest_capture,
     )
 }
 
@@ -225,16 +218,13 @@ SQL = {
     "evidence_tags": "select evidence as evidence_class, count(*) as n_tags from bibliography where evidence in ('P', 'R', 'T') group by evidence",
     "fence_mask": r"select doc_id, regexp_replace(text || chr(10) || '```text' || chr(10) || '[@hidden p.1]' || chr(10) || coalesce(source, 'none') || chr(10) || '```' || chr(10) || doc_kind, '(?ms)^```.*?^```[^\n]*$', '', 'g') as outside from documents",
     "citation_format": "select entry_id, case when coalesce(source_key, '') = '' then '' else '[@' || source_key || case when coalesce(locator, '') = '' then '' else ' ' || locator end || ']' end as citation from glossary",
-    "path_to_citation": r"""with p as (select file_ord, row_ord, regexp_replace(replace(url, '\', '/'), '^https?://[^/]+/', '') as path from bibliography where url is not null)
-  select file_ord, row_ord, case when regexp_full_match(path, '([a-z0-9-]+)\.(?:pdf|html|tsv)') then '[@' || regexp_extract(path, '^([a-z0-9-]+)\.', 1) || ']'
-    when regexp_full_match(path, '([a-z0-9-]+)/([0-9]+)') then '[@' || regexp_extract(path, '^([a-z0-9-]+)/', 1) || ' part ' || regexp_extract(path, '/([0-9]+)$', 1) || ']' else '(no rule for ' || path || ')' end as citation from p""",
     "first_wins_targets": _TARGETS + "select url, arg_min(cited_in, {'s': src_ord, 'i': item, 'c': cited_in}) as cited_in, min(src_ord) as src_ord from targets group by url",
     "wildcard_exclude": _TARGETS + "select src_ord, count(*) as n_targets, count(distinct url) as n_urls from targets group by src_ord",
     "archive_rewrite": _CATALOG + """select source_key, case when starts_with(regexp_replace(url, '^[a-z]+://', ''), 'archive.larkmoor.example/larkmoor') or starts_with(regexp_replace(url, '^[a-z]+://', ''), 'archive.larkmoor.example/wexholm')
   or contains(url, '://archive.larkmoor.example/larkmoor') or contains(url, '://archive.larkmoor.example/wexholm') then url else 'https://web.archive.org/web/2/' || url end as link from catalog where url is not null""",
     "url_target": _CATALOG + "select source_key, strftime(added_at, '%Y%m%d%H%M%S') as stamp, url as original from catalog where url is not null",
     "issue_date_dim": r"""with l as (select concat_ws(chr(9), source_key, date_raw, entry_type) as line, file_ord, row_ord from bibliography),
-  v as (select split_part(line, chr(9), 1) as paper, split_part(line, chr(9), 2) as issued, file_ord, row_ord from l where contains(line, chr(9)) and regexp_full_match(split_part(line, chr(9), 2), '\d{4}-\d{2}-\d{2}'))
+  v as (select split_part(line, chr(9), 1) as paper, split_part(line, chr(9), 2) as issued, file_ord, row_ord from l where starts_with(line, 'w') and contains(line, chr(9)) and regexp_full_match(split_part(line, chr(9), 2), '\d{4}-\d{2}-\d{2}'))
   select paper, arg_max(issued, {'f': file_ord, 'r': row_ord}) as issued from v group by paper""",
     "nearest_capture": """select b.event_id as row_id, arg_min(v.ts, {'d': abs(epoch_us(v.ts) - epoch_us(b.ts)), 't': v.ts}) as captured_at from events b join events v on v.user_id = b.user_id and v.event_type = 'view' where b.event_type = 'purchase' group by b.event_id""",
 }

@@ -62,6 +62,15 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     return front_matter(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")), "text")
 
 
+def quoted_manifest(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+    """The fields of a tab-separated manifest with a header, in which a value may be quoted to hold
+    tabs, line ends and doubled quotes. A field that the header lacks raises."""
+    read = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=True)
+    if gone := [f for f in fields if f not in read.columns]:
+        raise ValueError(f"fields {gone} are missing; there are {read.columns}")
+    return read.select(*(F.coalesce(F.col(f), F.lit("")).alias(f) for f in fields))
+
+
 def front_matter(texts: DataFrame, text: str) -> DataFrame:
     """texts with front and body in place of text."""
     pattern = r"(?s)^---\n(.*?)\n---\n(.*)$"

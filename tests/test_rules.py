@@ -6,9 +6,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirework.functions import text as X
+from quirework.operators import catalog as K
+from quirework.operators import citation_rules as R
 from quirework.operators import citations as C
 from quirework.operators import layouts as L
 from quirework.operators import manifests as M
+from quirework.operators import series as S
+from quirework.operators import shapes
+from quirework.plans.rules import CORPUS, RULES
+from quirework.sources.files import quoted_manifest
 
 
 def named(spark, rows):
@@ -95,3 +101,70 @@ def test_terms_that_open_their_line(spark):
     entries = spark.createDataFrame([("d", 1, "Gong"), ("d", 2, "Bench"), ("d", 3, "Gong"), ("d", 4, "Bench"), ("d", 5, "Lamp")], "doc string, entry_no long, term string")
     sure = lambda **how: [r.is_certain for r in L.locate(entries, there, **how).orderBy("entry_no").collect()]
     assert sure(starts_line=True) == [True, True, True, False, True] and sure() == [False, False, False, False, True]
+
+
+CATALOG = "source_key string, title string, date_raw string, file_format string, url string, parts map<string,string>, held_by string"
+
+
+@pytest.mark.parametrize(
+    ("key", "locator", "url", "label", "found"),
+    [
+        ("cap", " 20010203040506 http://www.a.example/x note  of it", "https://captures.example/web/20010203040506/http://www.a.example/x", "a.example/x, archived 2001-02-03, note  of it (Capture Machine)", True),
+        ("cap", " 20010203040506", None, "[@cap 20010203040506]", False), ("cap", "", None, "[@cap]", False), ("cap", None, None, "[@cap]", False),
+        ("paper", " metapth1 p.14, top", "https://papers.example/id/metapth1/m1/14/", "Larkmoor Paper, 5 Oct 1984, p.14, top (Portal of Papers)", True),
+        ("paper", " other pp.14-15", "https://papers.example/id/other/", "Larkmoor Paper, pp.14-15 (Portal of Papers)", True), ("paper", "  ", None, "[@paper  ]", False),
+        ("blog", " 2021-12-10 a-post comment", "https://blog.example/2021/12/10/a-post/", "Larkmoor Corner, 2021-12-10, comment", True), ("blog", "", "https://blog.example/all", "The Blog", True),
+        ("archive", " box 4", "https://archive.example/", "Larkmoor Archive, box 4", True), ("scans", " /item/7 Annual, p.2", "https://scans.example/item/7", "Annual, p.2 (Scan Collections)", True),
+        ("scans", " http://x.example/1", "http://x.example/1", "Library Scan Collections item (Scan Collections)", True), ("scans", "", None, "[@scans]", False), ("none", " p.1", None, "[@none p.1] (unknown source key)", False),
+    ],
+)
+def test_citations_by_rule(spark, key, locator, url, label, found):
+    catalog = spark.createDataFrame([("blog", "The Blog", None, None, "https://blog.example/all", None, None)], CATALOG)
+    issues = spark.createDataFrame([("metapth1", "1984-10-05")], "paper string, issued string")
+    cited = spark.createDataFrame([(1, key, locator, "clash")], "i int, cite_key string, locator string, paper string")
+    made = R.resolve_all(cited, catalog, RULES, issues).collect()
+    assert [(r.url, r.label, r.found, r.paper) for r in made] == [(url, label, found, "clash")]
+
+
+def test_what_a_check_of_links_asks_for(spark):
+    cited = [(1, "cap", "20010203040506 http://a.example/x y"), (2, "cap", "2001"), (3, "paper", "id1 pp.27"), (4, "blog", "2021-12-10 Any_Word"), (5, "blog", "2021-12 x"), (6, "archive", "x y"), (7, None, None)]
+    made = {r.i: (r.target, r.stamp, r.original) for r in R.checked_targets(spark.createDataFrame(cited, "i int, cite_key string, locator string"), RULES).collect()}
+    assert made == {1: (None, "20010203040506", "http://a.example/x"), 3: ("https://papers.example/id/id1/m1/27/", None, None), 4: ("https://blog.example/2021/12/10/Any_Word/", None, None)}
+
+
+@pytest.mark.parametrize(
+    ("path", "citation"),
+    [
+        ("D:\\x\\corpus\\s\\mirror\\h.example\\a\\20010203040506__f.html", "[@cap 20010203040506 http://h.example/a/f.html]"), ("s/mirror/h.example/20010203040506__f.html", "[@cap 20010203040506 http://h.example/f.html]"),
+        ("old.larkmoor.example/text/a__b.html__20010203040506.md", "[@cap 20010203040506 http://old.larkmoor.example/pages/a/b.html]"), ("odd.example/text/a__b.html__20010203040506.md", "(no rule for odd.example/text/a__b.html__20010203040506.md)"),
+        ("books.example/yearbooks/1987-yearbook-2.pdf", "[@yearbook-1987 p.N]"), ("corner.example/posts/2019-10-05_x-y.md", "[@blog 2019-10-05 x-y]  → https://blog.example/2019/10/05/x-y/"), ("", "(no rule for )"), (None, None),
+    ],
+)
+def test_paths(spark, path, citation):
+    assert spark.createDataFrame([(path,)], "p string").select(R.path_citation(F.col("p"), CORPUS)).collect()[0][0] == citation
+
+
+def test_missing_columns_editions_and_quotes(spark, tmp_path):
+    with pytest.raises(ValueError, match="keep"):
+        K.kept_rows(spark.createDataFrame([(1,)], "title int"), "keep", "title")
+    lined = spark.createDataFrame([("a-2001", "k", "d")], "edition string, key string, definition string")
+    with pytest.raises(ValueError, match="a-2001"):
+        S.pair_report(lined, "a-2001", "b-2002")
+    (tmp_path / "m.tsv").write_text('path\tcaption\nx\t"a ""b""\tc\nd"\ny\t\n')
+    assert [tuple(r) for r in quoted_manifest(spark, str(tmp_path / "m.tsv"), ["path", "caption"]).collect()] == [("x", 'a "b"\tc\nd'), ("y", "")]
+    with pytest.raises(ValueError, match="width"):
+        quoted_manifest(spark, str(tmp_path / "m.tsv"), ["width"])
+
+
+def test_pairs_need_their_prefix(spark):
+    rows = [("a/p", 1, "f\thttps://x/1"), ("a/p", 2, "g\thttps://x/2"), ("b", 1, "f\thttp://x/1"), ("a", 1, "t\td"), ("a", 2, "1\t2")]
+    frame = spark.createDataFrame(rows, "f string, o int, l string")
+    assert {r.f: r.layout for r in M.sniff(frame, "f", "o", "l", ["t", "d"], "https://").collect()} == {"a/p": "pairs", "b": "skipped", "a": "records"}
+    union = M.sniffed_union(frame, "f", "o", "l", ["t", "d"], "https://", only="a").collect()
+    assert sorted((r.f, r.t) for r in union) == [("a", "1"), ("a/p", "f"), ("a/p", "g")]
+
+
+def test_places_of_glyphs(spark):
+    glyphs = spark.createDataFrame([("f", k, "abcdefghij"[k]) for k in range(10)] + [("g", 0, "a"), ("g", 1, "b"), ("h", 0, "a"), ("h", 1, "x"), ("h", 2, "c"), ("h", 3, " ")], "font string, glyph int, meant string")
+    standard = spark.createDataFrame([(k, "abcdefghiX"[k]) for k in range(10)], "glyph int, meant string")
+    assert {r.font: (r.n_checked, r.n_in_place, r.follows) for r in shapes.in_place(glyphs, standard).collect()} == {"f": (10, 9, True), "g": (2, 2, False), "h": (3, 2, False)}
