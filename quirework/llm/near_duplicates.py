@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -58,30 +57,38 @@ _BIT_COLUMNS = [f"b{k}" for k in range(BITS)]
 SIGNED = "shingles array<bigint>, set_key bigint, n int, " + ", ".join(f"{b} bigint" for b in _BIT_COLUMNS)
 
 
-def signed(texts: pd.Series, size: int) -> pd.DataFrame:
+def signed(texts: list[str | None], size: int) -> list[pa.Array]:
     """Of each text: its sorted distinct shingle hashes, their key, number and bitmap."""
-    sets = [np.unique(window_hashes(word_hashes(words(t)), size)) for t in texts]
-    n = np.array([len(s) for s in sets], np.int32)
-    keys = [xxhash.xxh64_intdigest(s.tobytes()) - 2**63 if len(s) else None for s in sets]
-    flat = np.concatenate([np.empty(0, np.uint64), *sets])
-    bit = (flat >> np.uint64(32)) % np.uint64(64 * BITS)
-    bits = np.zeros((len(sets), BITS), np.uint64)
-    np.bitwise_or.at(bits, (np.repeat(np.arange(len(sets)), n), (bit // np.uint64(64)).astype(np.int64)), np.uint64(1) << (bit % np.uint64(64)))
-    frame = pd.DataFrame({"shingles": pd.Series([s.view(np.int64) for s in sets], dtype=object), "set_key": pd.array(keys, dtype="Int64"), "n": n})
-    return frame.assign(**{b: bits[:, k].view(np.int64) for k, b in enumerate(_BIT_COLUMNS)})
+    found = [words(t) for t in texts]
+    owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    hashes = window_hashes(word_hashes([w for f in found for w in f]), size)
+    # windows that lie in one text
+    inside = owner[: len(hashes)] == owner[size - 1 :] if len(hashes) else np.empty(0, bool)
+    owner, hashes = owner[: len(hashes)][inside], hashes[inside]
+    order = np.lexsort((hashes, owner))
+    owner, hashes = owner[order], hashes[order]
+    new = np.r_[True, (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])] if len(hashes) else np.empty(0, bool)
+    owner, hashes = owner[new], hashes[new]
+    n = np.bincount(owner, minlength=len(texts)).astype(np.int32)
+    ends = np.r_[0, np.cumsum(n)]
+    keys = [xxhash.xxh64_intdigest(hashes[a:b].tobytes()) - 2**63 if b > a else None for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    bit = (hashes >> np.uint64(32)) % np.uint64(64 * BITS)
+    bits = np.zeros((len(texts), BITS), np.uint64)
+    np.bitwise_or.at(bits, (owner, (bit // np.uint64(64)).astype(np.int64)), np.uint64(1) << (bit % np.uint64(64)))
+    shingles = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes.view(np.int64)))
+    return [shingles, pa.array(keys, pa.int64()), pa.array(n), *(pa.array(bits[:, k].view(np.int64)) for k in range(BITS))]
 
 
 def sign(texts: DataFrame, row_id: str, text: str, shingle_words: int) -> DataFrame:
     """id and SIGNED of every row, in one pass without a shuffle. A null, empty or too short
     text has no shingles and a null key."""
+    names = ["id", *(c.split()[0] for c in SIGNED.split(", "))]
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = signed(frame["text"], shingle_words)
-            out.insert(0, "id", frame["id"].to_numpy())
-            yield out
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch["id"], *signed(batch["text"].to_pylist(), shingle_words)], names=names)
 
-    return texts.select(F.col(row_id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInPandas(each, "id bigint, " + SIGNED)
+    return texts.select(F.col(row_id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(each, "id bigint, " + SIGNED)
 
 
 def minima(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
