@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quirework.functions.text import outside_fences
 from quirework.operators.ordered import running_number
-from quirework.operators.skew import join_keyed
+from quirework.operators.orphans import GROUP_ROWS, with_spans
+from quirework.operators.skew import join_keyed, small
+from quirework.session import written
 
 # The syntax of citations and of the page in a locator.
 #: [@key locator]; the locator keeps its leading white space and ends at the first bracket.
@@ -117,19 +119,32 @@ def longest_prefix(texts: DataFrame, row_id: str, text: str, terms: DataFrame, t
     return offered.join(known, "_prefix").groupBy(row_id).agg(F.max_by("term", F.length("_prefix")).alias("term"))
 
 
-def nearest_capture(cited: DataFrame, captures: DataFrame, key: str, cited_at: str, captured_at: str, row_id: str) -> DataFrame:
+def nearest_capture(cited: DataFrame, captures: DataFrame, key: str, cited_at: str, captured_at: str, row_id: str, group_rows: int = GROUP_ROWS) -> DataFrame:
     """row_id and the nearest time at which its key was captured (ties: the earlier); rows whose
     key was never captured are left out.
 
     Both sides are one stream in time; the last capture before and the first after are the only
-    candidates, so nothing is paired. Captures of a key are one row a time.
+    candidates, so nothing is paired. Captures of a key are one row a time. A key of more than
+    group_rows rows is cut into even spans of time; what lies before and after a span is one row a
+    span. Null keys and times match nothing.
     """
-    asked = cited.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(cited_at).alias("at"), F.col(row_id).alias("row_id"))
-    taken = captures.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(captured_at).alias("at")).distinct().withColumn("row_id", F.lit(None).cast("bigint"))
-    stream = asked.unionByName(taken)
+    there = lambda df, at: df.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.lit("").alias("parent"), F.col(key).alias("key"), F.col(at).alias("at"))
+    asked = cited.where(F.col(key).isNotNull() & F.col(cited_at).isNotNull()).select(F.lit("").alias("parent"), F.col(key).alias("key"), F.col(cited_at).alias("at"), F.col(row_id).alias("row_id"))
+    taken = there(captures, captured_at).distinct().withColumn("row_id", F.lit(None).cast("bigint"))
+    stream = written(asked.unionByName(taken), "capture-stream")
+    hot = written(stream.groupBy("parent", "key").agg(F.count("*").alias("n")).where(F.col("n") > group_rows), "capture-hot")
+    cut = with_spans(stream, hot, group_rows)
     capture = F.when(F.col("row_id").isNull(), F.col("at"))
-    window = Window.partitionBy("key").orderBy("at")
-    near = stream.withColumn("before", F.max(capture).over(window)).withColumn("after", F.min(capture).over(Window.partitionBy("key").orderBy(F.col("at").desc())))
+    own = Window.partitionBy("key", "span")
+    inside = cut.withColumn("_before", F.max(capture).over(own.orderBy("at"))).withColumn("_after", F.min(capture).over(own.orderBy(F.col("at").desc())))
+    spans = cut.where("bounds is not null").groupBy("key", "span").agg(F.max(capture).alias("last"), F.min(capture).alias("first"))
+    order = Window.partitionBy("key").orderBy("span")
+    handed = spans.select(
+        F.col("key").alias("_key"), F.col("span").alias("_span"), F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
+        F.min("first").over(Window.partitionBy("key").orderBy(F.col("span").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"),
+    )
+    near = inside.join(small(written(handed, "capture-spans")), (F.col("key") == F.col("_key")) & (F.col("span") == F.col("_span")), "left")
+    near = near.withColumns({"before": F.coalesce("_before", "_earlier"), "after": F.coalesce("_after", "_later")})
     micro = lambda c: F.unix_micros(c)
     closer = (micro(F.col("after")) - micro(F.col("at"))) < (micro(F.col("at")) - micro(F.col("before")))
     best = F.when(F.col("before").isNull() | closer, F.col("after")).otherwise(F.col("before"))

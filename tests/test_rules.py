@@ -1,5 +1,6 @@
 """Rules whose edge cases the driver's tables don't hold."""
 
+import datetime
 import random
 
 import pytest
@@ -168,3 +169,18 @@ def test_places_of_glyphs(spark):
     glyphs = spark.createDataFrame([("f", k, "abcdefghij"[k]) for k in range(10)] + [("g", 0, "a"), ("g", 1, "b"), ("h", 0, "a"), ("h", 1, "x"), ("h", 2, "c"), ("h", 3, " ")], "font string, glyph int, meant string")
     standard = spark.createDataFrame([(k, "abcdefghiX"[k]) for k in range(10)], "glyph int, meant string")
     assert {r.font: (r.n_checked, r.n_in_place, r.follows) for r in shapes.in_place(glyphs, standard).collect()} == {"f": (10, 9, True), "g": (2, 2, False), "h": (3, 2, False)}
+
+
+@pytest.mark.parametrize("group_rows", [10**6, 15])
+def test_nearest_captures_of_hot_keys(spark, group_rows):
+    r = random.Random(6)
+    stamp = lambda n: datetime.datetime(2020, 1, 1) + datetime.timedelta(hours=n)
+    cited = [(k, r.choice(["hot", "hot", "b", "never", None]), stamp(r.randrange(500)) if k % 17 else None) for k in range(200)]
+    taken = [(r.choice(["hot", "b"]), stamp(r.randrange(500))) for _ in range(60)] * 2 + [(None, stamp(1)), ("b", None)]
+    found = C.nearest_capture(spark.createDataFrame(cited, "i long, k string, at timestamp"), spark.createDataFrame(taken, "k string, at timestamp"), "k", "at", "at", "i", group_rows)
+    expected = {}
+    for k, key, at in cited:
+        times = [t for other, t in taken if other == key and t is not None]
+        if key is not None and at is not None and times:
+            expected[k] = min(times, key=lambda t: (abs(t - at), t))
+    assert {x.row_id: x.captured_at for x in found.collect()} == expected
