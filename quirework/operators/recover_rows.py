@@ -89,9 +89,10 @@ def parse_line(line: str, source_key: str = SOURCE_KEY) -> tuple[int, list[str],
 def cheapest_parse(line: str, source_key: str = SOURCE_KEY) -> tuple[int, list[str], list[str]]:
     """The cost, the four values and the edits of a line's cheapest parse.
 
-    A state is (field number, mode, kind): mode S at a field's start, U in a plain field, Q in a
-    quoted one, E after its closing quote; kind tells how much of the field there is (0 none, 1
-    one text, 2 several tokens). States are few, so the time is linear in the line's length. Of
+    A state is (field number, mode, kind, stained): mode S at a field's start, U in a plain field, Q
+    in a quoted one, E after its closing quote; kind tells how much of the field there is (0 none,
+    1 one text, 2 several tokens), stained whether a term or definition has paid for a control
+    character. Only how long or blank a term of several tokens is gets known after its parse. States are few, so the time is linear in the line's length. Of
     parses at equal cost the one with fewer and later edits is kept, so the result is stable.
     """
     tokens = [*tokens_of(line), ("", len(line))]
@@ -111,7 +112,7 @@ def cheapest_parse(line: str, source_key: str = SOURCE_KEY) -> tuple[int, list[s
         return int(not (kind == 1 and text_fits[field](text)))
 
     # state -> (cost, text of a one-text field, link); link = (previous link, operation)
-    states: dict[tuple[int, str, int], tuple[int, str, tuple | None]] = {(0, "S", 0): (0, "", None)}
+    states: dict[tuple[int, str, int, bool], tuple[int, str, tuple | None]] = {(0, "S", 0, False): (0, "", None)}
 
     def put(into: dict, state: tuple, cost: int, text: str, link: tuple) -> None:
         if state not in into or cost < into[state][0]:
@@ -122,16 +123,16 @@ def cheapest_parse(line: str, source_key: str = SOURCE_KEY) -> tuple[int, list[s
         # insertions before the token: a delimiter, an opening or a closing quote
         queue = sorted(states.items(), key=lambda x: x[1][0])
         while queue:
-            (field, mode, kind), (cost, text, link) = queue.pop(0)
-            if cost != states[field, mode, kind][0]:
+            (field, mode, kind, stained), (cost, text, link) = queue.pop(0)
+            if cost != states[field, mode, kind, stained][0]:
                 continue
             made = []
             if mode == "S" and kind == 0:
-                made.append(((field, "Q", 0), cost + 1, "", (link, ("insert quote", offset, ""))))
+                made.append(((field, "Q", 0, stained), cost + 1, "", (link, ("insert quote", offset, ""))))
             if mode == "Q":
-                made.append(((field, "E", kind), cost + 1, text, (link, ("insert quote", offset, ""))))
+                made.append(((field, "E", kind, stained), cost + 1, text, (link, ("insert quote", offset, ""))))
             if field < 3 and mode in "SUE":
-                made.append(((field + 1, "S", 0), cost + 1 + close(field, kind, text), "", (link, ("insert tab", offset, "\t"))))
+                made.append(((field + 1, "S", 0, False), cost + 1 + close(field, kind, text), "", (link, ("insert tab", offset, "\t"))))
             for state, price, kept, way in made:
                 if state not in states or price < states[state][0]:
                     states[state] = (price, kept, way)
@@ -141,39 +142,41 @@ def cheapest_parse(line: str, source_key: str = SOURCE_KEY) -> tuple[int, list[s
             break
         following = tokens[at + 1][0]
         new: dict = {}
-        for (field, mode, kind), (cost, text, link) in states.items():
+        for (field, mode, kind, stained), (cost, text, link) in states.items():
             more = min(2, kind + 1)
             if token == "\t":
                 if mode == "Q":
-                    put(new, (field, "Q", 2), cost, "", (link, ("keep", offset, " \t"[1])))
+                    put(new, (field, "Q", 2, stained), cost, "", (link, ("keep", offset, "\t")))
                 else:
                     if field < 3:
-                        put(new, (field + 1, "S", 0), cost + close(field, kind, text), "", (link, ("end", offset, "")))
-                put(new, (field, mode, kind), cost + 1, text, (link, ("delete tab", offset, "")))
+                        put(new, (field + 1, "S", 0, False), cost + close(field, kind, text), "", (link, ("end", offset, "")))
+                put(new, (field, mode, kind, stained), cost + 1, text, (link, ("delete tab", offset, "")))
             elif token == '"':
                 if mode == "S":
-                    put(new, (field, "Q", 0), cost, "", (link, ("open", offset, "")))
+                    put(new, (field, "Q", 0, stained), cost, "", (link, ("open", offset, "")))
                 elif mode == "U":
-                    put(new, (field, "U", 2), cost, "", (link, ("keep", offset, '"')))
+                    put(new, (field, "U", 2, stained), cost, "", (link, ("keep", offset, '"')))
                 elif mode == "Q":
                     if following != '"':
-                        put(new, (field, "E", kind), cost, text, (link, ("close", offset, "")))
+                        put(new, (field, "E", kind, stained), cost, text, (link, ("close", offset, "")))
                     else:
-                        put(new, (field, "H", kind), cost, text, (link, ("half", offset, "")))
+                        put(new, (field, "H", kind, stained), cost, text, (link, ("half", offset, "")))
                 elif mode == "H":
-                    put(new, (field, "Q", 2), cost, "", (link, ("keep", offset, '"')))
+                    put(new, (field, "Q", 2, stained), cost, "", (link, ("keep", offset, '"')))
                 if mode != "H":
-                    put(new, (field, mode, kind), cost + 1, text, (link, ("delete quote", offset, "")))
+                    put(new, (field, mode, kind, stained), cost + 1, text, (link, ("delete quote", offset, "")))
             else:
+                stains = field < 2 and not stained and bool(CONTROL.search(token))
+                cost, stained = cost + stains, stained or stains
                 if mode in "SU":
-                    put(new, (field, "U", more), cost, token if more == 1 else "", (link, ("keep", offset, token)))
+                    put(new, (field, "U", more, stained), cost, token if more == 1 else "", (link, ("keep", offset, token)))
                 elif mode == "Q":
-                    put(new, (field, "Q", more), cost, token if more == 1 else "", (link, ("keep", offset, token)))
+                    put(new, (field, "Q", more, stained), cost, token if more == 1 else "", (link, ("keep", offset, token)))
                 elif mode == "E":  # text after the closing quote: that quote was data
-                    put(new, (field, "Q", 2), cost + 1, "", (link, ("insert quote", offset, '"' + token)))
+                    put(new, (field, "Q", 2, stained), cost + 1, "", (link, ("insert quote", offset, '"' + token)))
         states = new
     ends = []
-    for (field, mode, kind), (cost, text, link) in states.items():
+    for (field, mode, kind, _), (cost, text, link) in states.items():
         if field == 3 and mode in "SUE":
             ends.append((cost + close(field, kind, text), mode, kind, link))
     cost, _, _, link = min(ends, key=lambda x: x[:3])

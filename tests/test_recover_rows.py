@@ -91,3 +91,12 @@ def test_lines_on_a_dataframe(spark):
 
 def test_no_lines(spark):
     assert parse_lines(spark.createDataFrame([], "line_id long, raw_line string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("line", "cost"),
+    [("a\x01b\tc\towlmanac-2016\tp.1", 1), ("a\x01\tb\x02\towlmanac-2016\t", 2), ("a\x01\tb\x02 x\x03\tother\tp.01", 4), ('"a\x01""b\x02"\tc\towlmanac-2016\t', 1), ("a\x01\tb\towlmanac-2016", 2)],
+)
+def test_the_cost_is_that_of_the_parse_that_is_returned(line, cost):
+    found, _, edits = cheapest_parse(line)
+    assert found == len(edits) == cost
