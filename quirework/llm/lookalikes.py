@@ -112,14 +112,13 @@ def normalize(text: str | None) -> tuple[str | None, list[str]]:
     spelled anew may compose with its mark or make its neighbours' script clear. A round leaves
     fewer letters that can be spelled, composed or replaced, so they end.
     """
-    made, kinds = one_form(text)
-    found = set(kinds)
-    while made:
-        again, kinds = one_form(made)
-        if again == made:
-            break
-        made, found = again, found | set(kinds)
-    return made, sorted(found)
+    found: set[str] = set()
+    while True:
+        made, kinds = one_form(text)
+        found.update(kinds)
+        if made == text:
+            return made, sorted(found)
+        text = made
 
 
 def one_form(text: str | None) -> tuple[str | None, list[str]]:
