@@ -55,7 +55,7 @@ def edition_diff_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def edition_pair_report(spark: SparkSession, folder: str) -> DataFrame:
-    return S.pair_report(_lined(spark, folder), "almanac-2016", "almanac-2017")
+    return S.pair_report(_lined(spark, folder), "almanac-2016", "owlmanac-2016")
 
 
 def term_normalise(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,7 +101,7 @@ SQL = {
     "edition_diff": _LINED + "select position, key, change from changed",
     "edition_diff_counts": _LINED + "select position, change, count(*) as n_terms from changed group by all",
     "edition_pair_report": _LINED + """select coalesce(n.key, o.key) as key, case when o.key is null then 'added' when n.key is null then 'dropped' when n.words is distinct from o.words then 'reworded' else 'same' end as change,
-  o.definition as old_definition, n.definition as new_definition from (select * from lined where edition = 'almanac-2017') n full outer join (select * from lined where edition = 'almanac-2016') o on n.key = o.key""",
+  o.definition as old_definition, n.definition as new_definition from (select * from lined where edition = 'owlmanac-2016') n full outer join (select * from lined where edition = 'almanac-2016') o on n.key = o.key""",
     "term_normalise": _KEY + "select entry_id, key from keyed",
     "definition_normalise": r"select entry_id, trim(regexp_replace(lower(definition), '[^\p{L}\p{N}_]+', ' ', 'g')) as words from glossary",
 }
