@@ -329,6 +329,10 @@ marked as (select *, trim(text) <> '' and not regexp_matches(trim(text), '^[0-9]
     from widths w left join nudged n on n.doc is not distinct from w.doc and n.page is not distinct from w.page group by w.doc, w.page)
   select doc, page, array_to_string(kept[:2], ',') as starts from listed""",
     "offset_histogram": _CHARS + """select doc, page, "offset", n, n + coalesce(case when lead("offset") over w = "offset" + 1 then lead(n) over w end, 0) as score from hist window w as (partition by doc, page order by "offset")""",
+    "offset_peaks": _CHARS + """, scored as (select doc, page, "offset" as o, n + coalesce(case when lead("offset") over w = "offset" + 1 then lead(n) over w end, 0) as score from hist window w as (partition by doc, page order by "offset")),
+  ranked as (select doc, page, list({'s': score, 'o': o} order by score desc, o desc) as r from scored group by doc, page),
+  peaked as (select doc, page, list_reduce(r, lambda done, x: case when len(done) < 3 and len(list_filter(done, lambda d: abs(d.o - x.o) < 10)) = 0 then list_append(done, x) else done end, cast([] as struct(s hugeint, o int)[])) as chosen from ranked)
+  select doc, page, array_to_string(list_sort(list_filter(list_transform(chosen, lambda x: x.o), lambda o: o > 5))[:2], ',') as offsets from peaked""",
     "offset_shares": _WIDE + """, e as (select doc, page, line, unnest([35, 40, 60, 80]) as "offset" from wide)
   select doc, page, "offset", case when count(*) < 5 then 1.0 else count(*) filter (not contains(substr(line, greatest("offset" - 1, 1), 3), ' ')) / count(*) end as cut_share,
     case when count(*) < 5 then 0.0 else count(*) filter (substr(line, "offset" + 1, 1) <> ' ' and substr(line, "offset", 1) = ' ') / count(*) end as start_share from e where length(line) > "offset" group by doc, page, "offset" """,
