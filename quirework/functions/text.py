@@ -6,6 +6,7 @@ Null gives null throughout; empty text gives empty text.
 from __future__ import annotations
 
 import html
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -40,6 +41,37 @@ def slugify(text: Column, empty: str = "img") -> Column:
     return F.when(slug == "", empty).otherwise(slug)
 
 
+def squash_name(name: Column) -> Column:
+    """A name in lower case without anything but letters a-z and digits."""
+    return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
+
+
+def heading_slug(heading: Column) -> Column:
+    """The anchor of a heading: marks split off and dropped with all else beyond ASCII, then letters,
+    digits, underscores, spaces and hyphens kept, in lower case, runs of spaces and hyphens one
+    hyphen. An Arrow UDF where there is anything beyond ASCII, as the split has no built-in."""
+
+    def plain(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() if isinstance(t, str) else None)
+
+    beyond = heading.rlike(r"[^\x{00}-\x{7F}]")
+    ascii_only = F.when(beyond, F.pandas_udf(plain, "string")(F.when(beyond, heading))).otherwise(heading)
+    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(ascii_only, r"[^\w\s-]", ""))), r"[-\s]+", "-")
+
+
+def on_one_line(text: Column) -> Column:
+    """A text trimmed, each line end a space, so that it stays inside its list item."""
+    return F.replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), F.lit("\n"), F.lit(" "))
+
+
+def expand_ligature(character: Column) -> Column:
+    """A single ligature character as the letters it joins; any other text as it is."""
+    made = character
+    for ligature, letters in zip("ﬀﬁﬂﬃﬄﬅﬆ", ("ff", "fi", "fl", "ffi", "ffl", "st", "st")):
+        made = F.when(character == ligature, letters).otherwise(made)
+    return made
+
+
 def shorten(text: Column, width: int) -> Column:
     """At most width characters; what is cut off becomes an ellipsis."""
     return F.when(F.length(text) > width, F.concat(F.substring(text, 1, width - 1), F.lit("…"))).otherwise(text)
@@ -65,6 +97,7 @@ def html_to_text(page: Column) -> Column:
     """Crude text of a page, in ten ordered steps whose quirks are part of the result: <link> gives
     a list mark, <br> or a closing tag counts only without attributes, a bare < eats up to the
     next >."""
+    # The steps and their order are the required behaviour.
     steps = (
         (r"(?is)<(script|style|noscript).*?</\1>", " "),
         (r"(?is)<!--.*?-->", " "),
@@ -90,15 +123,22 @@ def decode_bytes(data: Column) -> Column:
     return F.when(F.is_valid_utf8(data.cast("string")), data.cast("string")).otherwise(windows)
 
 
+# Ligatures of a text layer as letters; the mark of a soft hyphen and the byte order
+# mark are removed.
+LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬀ": "ff", "¬": "", "﻿": ""}
+
+
 def ligatures(text: Column) -> Column:
-    """Printed ligatures as letters, soft hyphens and byte order marks gone."""
-    for seen, meant in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("\xad", ""), ("﻿", "")):
+    """Printed ligatures as letters, marks of soft hyphens and byte order marks gone."""
+    for seen, meant in LIGATURES.items():
         text = F.replace(text, F.lit(seen), F.lit(meant))
     return text
 
 
 # What a font whose codes are 29 too low makes of ligatures and common words.
 SHIFTED_LIGATURES = {"À": "fi", "Á": "fl", "Â": "ffi", "¿": "ff"}
+# One marker that spells a proper name is left out: lines that hold no other are not decoded. Pass it
+# as a marker where such lines are meant.
 SHIFTED_MARKERS = ("WKH", "DQG", "RI", "WR", "LQ", "LV", "IRU", "ZLWK", "À", "Á")
 
 
@@ -265,8 +305,9 @@ def capture_of(url: Column) -> tuple[Column, Column]:
 
 
 def format_citation(key: Column, locator: Column) -> Column:
-    """[@key locator], empty without a key."""
-    part = F.when(F.coalesce(locator, F.lit("")) == "", "").otherwise(F.concat(F.lit(" "), locator))
+    """[@key locator], the locator trimmed; empty without a key."""
+    place = F.regexp_replace(F.coalesce(locator, F.lit("")), r"(?U)^\s+|\s+$", "")
+    part = F.when(place == "", "").otherwise(F.concat(F.lit(" "), place))
     return F.when(F.coalesce(key, F.lit("")) == "", "").otherwise(F.concat(F.lit("[@"), key, part, F.lit("]")))
 
 

@@ -52,6 +52,13 @@ def first_copies(items: DataFrame, checksum: str, order: list[str]) -> DataFrame
     return one_of_each(known, [checksum], order, last=False).join(counts, checksum)
 
 
+def new_copies(items: DataFrame, done: DataFrame, checksum: str, order: list[str]) -> DataFrame:
+    """The first item of each checksum that isn't among the done ones; items without a checksum are
+    left out. One item a checksum is left before the join, so a hot one costs nothing."""
+    first = one_of_each(items.where(F.col(checksum).isNotNull()), [checksum], order, last=False)
+    return first.join(done.select(checksum).where(F.col(checksum).isNotNull()).distinct(), checksum, "left_anti").select(*items.columns)
+
+
 def keyed_update(manifest: DataFrame, updates: DataFrame, key: str, columns: list[str], order: list[str]) -> DataFrame:
     """manifest with the columns' new values where the last update of its key has one; the other
     values stay. Updates without a row are what missing() finds."""
@@ -124,6 +131,15 @@ def with_empty_groups(groups: DataFrame, items: DataFrame, key: str) -> DataFram
     return groups.select(key).distinct().join(counts, key, "left").fillna(0, ["n_items"])
 
 
+def grouped_items(groups: DataFrame, items: DataFrame, key: str, order: str) -> DataFrame:
+    """A row for each item with its place in its group (from 1, by order, an integer), and one with
+    nulls for each group without items. Items of unknown or no groups are left out; large groups
+    are numbered by spans and never gathered."""
+    known = groups.select(F.col(key).alias("_key")).where(F.col(key).isNotNull()).distinct()
+    numbered = running_number(items.where(F.col(key).isNotNull()), [key], order, "place")
+    return known.join(numbered, F.col("_key") == F.col(key), "left").withColumn(key, F.col("_key")).drop("_key")
+
+
 def plan(listed: DataFrame, there: DataFrame, key: str, folder: Column, seconds: int = 5) -> DataFrame:
     """folder, n_listed, n_missing and seconds to fetch what is missing."""
     known = there.select(F.col(key).alias("_there")).distinct()

@@ -340,8 +340,8 @@ marked as (select *, trim(text) <> '' and not regexp_matches(trim(text), '^[0-9]
   select doc, page, "offset", case when count(*) < 5 then 1.0 else count(*) filter (not contains(substr(line, greatest("offset" - 1, 1), 3), ' ')) / count(*) end as cut_share,
     case when count(*) < 5 then 0.0 else count(*) filter (regexp_matches(substr(line, "offset", 4), '^ [^ ]|^. [^ ]|^.. [^ ]')) / count(*) end as start_share from e where length(line) > "offset" group by doc, page, "offset" """,
     "phrase_locate": r"""select doc_id, cast(i as int) as line_no, substr(trim(l[i]), 1, 160) as line from (select doc_id, l, unnest(generate_series(1, len(l))) as i from (select doc_id, regexp_split_to_array(text, '\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]') as l from documents where text is not null)) where contains(lower(l[i]), 'the gardener')""",
-    "ligatures": """select entry_id, replace(replace(replace(replace(replace(replace(replace(term, 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), chr(173), ''), chr(65279), '') as term,
-  replace(replace(replace(replace(replace(replace(replace(definition, 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), chr(173), ''), chr(65279), '') as definition from glossary""",
+    "ligatures": """select entry_id, replace(replace(replace(replace(replace(replace(term, 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬀ', 'ff'), chr(172), ''), chr(65279), '') as term,
+  replace(replace(replace(replace(replace(replace(definition, 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬀ', 'ff'), chr(172), ''), chr(65279), '') as definition from glossary""",
     "shortened": "select entry_id, case when length(definition) > 60 then substr(definition, 1, 59) || '…' else definition end as short from glossary",
     "shifted_decode": "with w as (select entry_id, lower(regexp_replace(concat_ws(' ', term, definition), '[^a-zA-Z]', '', 'g')) as w from owlmanac_2016) select entry_id, 'no. ⟨the' || w || 'fi⟩ end' as read, 'no ' || w || ' end' as spaced from w",
     "readability": r"""with c as (select doc_id, text, length(regexp_replace(text, '[\s\v\x{85}\p{Z}]', '', 'g')) as full_n, length(regexp_replace(text, '[^\p{L}]', '', 'g')) as l, length(regexp_replace(text, '[^\p{Ll}]', '', 'g')) as s, length(regexp_replace(text, '[^\p{Ll} ]', '', 'g')) as g from documents)

@@ -75,6 +75,22 @@ def checksum_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     return M.first_copies(items, "sha256", ["doc_id"])
 
 
+def new_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of every fourth id and their texts are done already."""
+    items = table(spark, folder, "documents").select("doc_id", F.sha1("text").alias("sha1"))
+    return M.new_copies(items.where("doc_id % 4 <> 0"), items.where("doc_id % 4 = 0"), "sha1", ["doc_id"])
+
+
+def gallery_photos(spark: SparkSession, folder: str) -> DataFrame:
+    return M.grouped_items(table(spark, folder, "galleries"), table(spark, folder, "placements"), "gallery_key", "placement_id").select("gallery_key", "place", "placement_id")
+
+
+def names(spark: SparkSession, folder: str) -> DataFrame:
+    """Names and definitions of the glossary in the forms that names, list items and links need."""
+    term, definition = F.coalesce("term", F.lit("")), F.coalesce("definition", F.lit(""))
+    return table(spark, folder, "glossary").select("entry_id", X.squash_name(term).alias("squashed"), X.on_one_line(definition).alias("flat"), X.expand_ligature(F.substring(term, 1, 1)).alias("initial"))
+
+
 def keyed_update(spark: SparkSession, folder: str) -> DataFrame:
     """The manifest with captions, topics and dates from the last placement of each photo."""
     photos = _photos(spark, folder).select("photo_subpath", "web_path", "added_at", "caption", "topic", "date_text")
@@ -209,7 +225,7 @@ def shape_vote(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        manifest_sniff, manifest_union, kept_questions, shape_report, shape_commonest, shape_in_place, manifest_missing, manifest_plan, checksum_dedupe, keyed_update, delimiter_audit, slugs, slug_collisions, groups_with_empty,
+        manifest_sniff, manifest_union, kept_questions, shape_report, shape_commonest, shape_in_place, manifest_missing, manifest_plan, checksum_dedupe, new_copies, gallery_photos, names, keyed_update, delimiter_audit, slugs, slug_collisions, groups_with_empty,
         photo_credit, page_url, page_actions, signed_limit, html_escape, html_to_text, link_extract, bytes_decode, version_table, link_verdict,
         link_report, fetch_state, backoff, shape_vote,
     )
@@ -236,6 +252,10 @@ SQL = {
     "manifest_plan": _PHOTOS + """, m as (select split_part(photo_subpath, '/', 1) as folder, photo_subpath in (select photo_subpath from photos where photo_subpath is not null) as there from placements where photo_subpath <> '')
   select folder, count(*) as n_listed, count(*) filter (not there) as n_missing, count(*) filter (not there) * 5 as seconds from m group by folder""",
     "checksum_dedupe": "select sha256(text) as sha256, min(doc_id) as doc_id, count(*) as n_copies from documents where text is not null group by 1",
+    "new_copies": "select min(doc_id) as doc_id, sha1(text) as sha1 from documents where text is not null and doc_id % 4 <> 0 and sha1(text) not in (select sha1(text) from documents where text is not null and doc_id % 4 = 0) group by sha1(text)",
+    "gallery_photos": "select g.gallery_key, case when p.placement_id is not null then row_number() over (partition by g.gallery_key order by p.placement_id) end as place, p.placement_id from (select distinct gallery_key from galleries where gallery_key is not null) g left join placements p using (gallery_key)",
+    "names": """select entry_id, regexp_replace(lower(coalesce(term, '')), '[^a-z0-9]', '', 'g') as squashed, replace(regexp_replace(coalesce(definition, ''), '^[\\s\\v\\x{85}\\p{Z}]+|[\\s\\v\\x{85}\\p{Z}]+$', '', 'g'), chr(10), ' ') as flat,
+  case left(coalesce(term, ''), 1) when 'ﬀ' then 'ff' when 'ﬁ' then 'fi' when 'ﬂ' then 'fl' when 'ﬃ' then 'ffi' when 'ﬄ' then 'ffl' when 'ﬅ' then 'st' when 'ﬆ' then 'st' else left(coalesce(term, ''), 1) end as initial from glossary""",
     "keyed_update": _PHOTOS + """, last as (select photo_subpath, caption, topic, date_text from (select *, row_number() over (partition by photo_subpath order by placed_at desc nulls last, placement_id desc) as k from placements where photo_subpath is not null) where k = 1)
   select f.photo_subpath, f.web_path, f.added_at, coalesce(nullif(l.caption, ''), f.caption) as caption, coalesce(nullif(l.topic, ''), f.topic) as topic, coalesce(nullif(l.date_text, ''), f.date_text) as date_text from photos f left join last l on l.photo_subpath = f.photo_subpath""",
     "delimiter_audit": r"select entry_id, column_name from (select entry_id, unnest(['term', 'definition', 'locator']) as column_name, unnest([term, definition, locator]) as v from owlmanac_2016) where regexp_matches(v, '[\t\r\n]')",

@@ -217,7 +217,7 @@ SQL = {
   select entry_id, arg_max(term, length(prefix)) as term from full_texts join known on starts_with(t, prefix || ' ') group by entry_id""",
     "evidence_tags": "select evidence as evidence_class, count(*) as n_tags from bibliography where evidence in ('P', 'R', 'T') group by evidence",
     "fence_mask": r"select doc_id, regexp_replace(text || chr(10) || '```text' || chr(10) || '[@hidden p.1]' || chr(10) || coalesce(source, 'none') || chr(10) || '```' || chr(10) || doc_kind, '(?ms)^```.*?^```[^\n]*$', '', 'g') as outside from documents",
-    "citation_format": "select entry_id, case when coalesce(source_key, '') = '' then '' else '[@' || source_key || case when coalesce(locator, '') = '' then '' else ' ' || locator end || ']' end as citation from glossary",
+    "citation_format": "select entry_id, case when coalesce(source_key, '') = '' then '' else '[@' || source_key || case when trim(coalesce(locator, '')) = '' then '' else ' ' || trim(locator) end || ']' end as citation from glossary",
     "first_wins_targets": _TARGETS + "select url, arg_min(cited_in, {'s': src_ord, 'i': item, 'c': cited_in}) as cited_in, min(src_ord) as src_ord from targets group by url",
     "wildcard_exclude": _TARGETS + "select src_ord, count(*) as n_targets, count(distinct url) as n_urls from targets group by src_ord",
     "archive_rewrite": _CATALOG + """select source_key, case when starts_with(regexp_replace(url, '^[a-z]+://', ''), 'archive.larkmoor.example/larkmoor') or starts_with(regexp_replace(url, '^[a-z]+://', ''), 'archive.larkmoor.example/wexholm')

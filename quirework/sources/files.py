@@ -110,6 +110,10 @@ def strict(records: DataFrame, fields: list[str]) -> DataFrame:
     return records.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in fields))
 
 
-def setting(argument: str | None, variable: str, config: dict[str, str], key: str) -> str | None:
-    """An argument, else an environment variable, else a configured value, else nothing."""
-    return argument or os.environ.get(variable) or config.get(key)
+def setting(argument: str | None, variable: str, config: dict[str, str], key: str, base: str | None = None) -> str | None:
+    """An argument, else an environment variable, else a configured value, else nothing. An argument
+    or variable counts from the working folder; a configured path counts from base, where given."""
+    if told := argument or os.environ.get(variable):
+        return os.path.expanduser(told)
+    found = config.get(key)
+    return os.path.join(base or "", os.path.expanduser(str(found))) if found else None

@@ -34,6 +34,20 @@ def spliced(page: Column, begin: str, end: str, new: Column) -> Column:
     return F.when((start > 0) & (stop > 0), made)
 
 
+def replaced_marker(page: Column, marker: str, new: Column) -> Column:
+    """The page with every such marker replaced; a page without it stays as it is."""
+    return F.replace(page, F.lit(marker), new)
+
+
+def photo_grid(items: DataFrame, page: str, key: str, place: str, photo: str, thumb: str, caption: str) -> DataFrame:
+    """key, place and value: the Markdown line of each photo, its small copy linking to the large one,
+    both relative to the page that the column `page` names. Rows without a photo give no line."""
+    words = F.replace(F.coalesce(caption, F.lit("")), F.lit("]"), F.lit("\\]"))
+    link = lambda c: relative_link(F.col(c), F.col(page))
+    value = F.concat(F.lit("[!["), words, F.lit("]("), link(thumb), F.lit(")]("), link(photo), F.lit(")"))
+    return items.where(F.col(photo).isNotNull() & F.col(thumb).isNotNull()).select(key, place, value.alias("value"))
+
+
 def relative_link(target: Column, page: Column) -> Column:
     """The way from a page to a target, both as paths from one root."""
     here, there = F.split(page, "/"), F.split(target, "/")

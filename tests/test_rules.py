@@ -15,7 +15,8 @@ from quirework.operators import manifests as M
 from quirework.operators import series as S
 from quirework.operators import shapes
 from quirework.plans.rules import CORPUS, RULES
-from quirework.sources.files import quoted_manifest
+from quirework.sources.files import quoted_manifest, setting
+from quirework.sources.sinks import photo_grid, replaced_marker
 
 
 def named(spark, rows):
@@ -184,3 +185,26 @@ def test_nearest_captures_of_hot_keys(spark, group_rows):
         if key is not None and at is not None and times:
             expected[k] = min(times, key=lambda t: (abs(t - at), t))
     assert {x.row_id: x.captured_at for x in found.collect()} == expected
+
+
+def test_forms_of_names(spark):
+    one = lambda c: spark.range(1).select(c).collect()[0][0]
+    assert one(X.squash_name(F.lit("Noto Sans-3 Ü"))) == "notosans3" and one(X.heading_slug(F.lit(" Café & The  Old—Hall_1 "))) == "cafe-the-oldhall_1"
+    assert one(X.on_one_line(F.lit("\n a\nb \n"))) == "a b" and one(X.expand_ligature(F.lit("ﬃ"))) == "ffi" and one(X.expand_ligature(F.lit("ﬁx"))) == "ﬁx"
+    assert one(X.heading_slug(F.lit(None).cast("string"))) is None and one(X.format_citation(F.lit("k"), F.lit("  "))) == "[@k]"
+
+
+def test_copies_grids_markers_and_settings(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, "c")], "i int, s string")
+    assert sorted(r.i for r in M.new_copies(items, spark.createDataFrame([("b",), (None,)], "s string"), "s", ["i"]).collect()) == [1, 5]
+    groups = spark.createDataFrame([("g",), ("h",), ("g",), (None,)], "k string")
+    photos = spark.createDataFrame([("g", 7, "p/x.jpg", "p/t/x.jpg", "a]b"), ("g", 3, "p/y.jpg", "p/t/y.jpg", None), ("z", 1, "q", "q", ""), (None, 2, "q", "q", "")], "k string, o int, photo string, thumb string, c string")
+    placed = M.grouped_items(groups, photos, "k", "o")
+    assert sorted(((r.k, r.place, r.o) for r in placed.collect()), key=str) == [("g", 1, 3), ("g", 2, 7), ("h", None, None)]
+    grid = photo_grid(placed.withColumn("page", F.lit("life/g.md")), "page", "k", "place", "photo", "thumb", "c").orderBy("place").collect()
+    assert [r.value for r in grid] == ["[![](../p/t/y.jpg)](../p/y.jpg)", "[![a\\]b](../p/t/x.jpg)](../p/x.jpg)"]
+    page = spark.createDataFrame([("<!-- X --> a <!-- X -->",), ("none",)], "t string").select(replaced_marker(F.col("t"), "<!-- X -->", F.lit("$1"))).collect()
+    assert [r[0] for r in page] == ["$1 a $1", "none"]
+    monkeypatch.delenv("QW_FOLDER", raising=False)
+    assert setting(None, "QW_FOLDER", {"f": "copy"}, "f", "/base") == "/base/copy" and setting(None, "QW_FOLDER", {"f": "/copy"}, "f", "/base") == "/copy"
+    assert setting("x", "QW_FOLDER", {"f": "copy"}, "f", "/base") == "x" and setting(None, "QW_FOLDER", {}, "f", "/base") is None
