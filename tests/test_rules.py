@@ -113,7 +113,7 @@ CATALOG = "source_key string, title string, date_raw string, file_format string,
     [
         ("cap", " 20010203040506 http://www.a.example/x note  of it", "https://captures.example/web/20010203040506/http://www.a.example/x", "a.example/x, archived 2001-02-03, note  of it (Capture Machine)", True),
         ("cap", " 20010203040506", None, "[@cap 20010203040506]", False), ("cap", "", None, "[@cap]", False), ("cap", None, None, "[@cap]", False),
-        ("paper", " metapth1 p.14, top", "https://papers.example/id/metapth1/m1/14/", "Larkmoor Paper, 5 Oct 1984, p.14, top (Portal of Papers)", True),
+        ("paper", " paper-1 p.14, top", "https://papers.example/id/paper-1/m1/14/", "Larkmoor Paper, 5 Oct 1984, p.14, top (Portal of Papers)", True),
         ("paper", " other pp.14-15", "https://papers.example/id/other/", "Larkmoor Paper, pp.14-15 (Portal of Papers)", True), ("paper", "  ", None, "[@paper  ]", False),
         ("blog", " 2021-12-10 a-post comment", "https://blog.example/2021/12/10/a-post/", "Larkmoor Corner, 2021-12-10, comment", True), ("blog", "", "https://blog.example/all", "The Blog", True),
         ("archive", " box 4", "https://archive.example/", "Larkmoor Archive, box 4", True), ("scans", " /item/7 Annual, p.2", "https://scans.example/item/7", "Annual, p.2 (Scan Collections)", True),
@@ -122,7 +122,7 @@ CATALOG = "source_key string, title string, date_raw string, file_format string,
 )
 def test_citations_by_rule(spark, key, locator, url, label, found):
     catalog = spark.createDataFrame([("blog", "The Blog", None, None, "https://blog.example/all", None, None)], CATALOG)
-    issues = spark.createDataFrame([("metapth1", "1984-10-05")], "paper string, issued string")
+    issues = spark.createDataFrame([("paper-1", "1984-10-05")], "paper string, issued string")
     cited = spark.createDataFrame([(1, key, locator, "clash")], "i int, cite_key string, locator string, paper string")
     made = R.resolve_all(cited, catalog, RULES, issues).collect()
     assert [(r.url, r.label, r.found, r.paper) for r in made] == [(url, label, found, "clash")]
