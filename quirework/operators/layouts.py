@@ -16,6 +16,7 @@ from operator import and_, or_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -329,21 +330,26 @@ def offset_counts(lines: DataFrame, group: list[str], line: str) -> DataFrame:
     names = [*group, "offset", "n", "across", "starts", "soon"]
     schema = StructType([*(lines.schema[c] for c in group), *(StructField(c, LongType()) for c in names[len(group) :])])
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for key, part in frame.groupby(group, dropna=False, sort=False):
-                texts = [t for t in part["_line"] if t]
-                counts = np.zeros((4, max(map(len, texts), default=0)), np.int64)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # keys are taken from their rows, so nulls and types stay as they are
+            keys = [batch.column(c).dictionary_encode("encode").indices.to_numpy() for c in group]
+            _, first, page_of = np.unique(np.c_[tuple(keys)], axis=0, return_index=True, return_inverse=True)
+            pages: list[list[str]] = [[] for _ in first]
+            for k, text in zip(page_of.ravel(), batch.column("_line").to_pylist()):
+                if text:
+                    pages[k].append(text)
+            for at, texts in zip(first, pages):
+                if not texts:  # no offset to count
+                    continue
+                counts = np.zeros((4, max(map(len, texts))), np.int64)
                 for text in texts:
                     counts[0, : len(text)] += 1
                     counts[1:, : len(text)] += _offset_counts(text)
-                made = pd.DataFrame(counts.T, columns=names[len(group) + 1 :])
-                made.insert(0, "offset", np.arange(len(made)))
-                for k, column in enumerate(group):
-                    made.insert(k, column, [part[column].iloc[0]] * len(made))
-                yield made.astype({c: "Int64" for k, c in enumerate(group) if pd.api.types.is_float_dtype(made[c])})
+                own = pa.array(np.full(counts.shape[1], at))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in group), pa.array(np.arange(counts.shape[1])), *map(pa.array, counts)], names=names)
 
-    counted = lines.select(*group, F.rtrim(line).alias("_line")).mapInPandas(task, schema)
+    counted = lines.select(*group, F.rtrim(line).alias("_line")).mapInArrow(task, schema)
     return counted.groupBy(*group, "offset").agg(*(F.sum(c).alias(c) for c in ("n", "across", "starts", "soon")))
 
 

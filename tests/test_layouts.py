@@ -60,6 +60,16 @@ def test_peaks_are_apart(spark):
     assert L.peaks(starts, ["g"], 3, 5).collect()[0].offsets == [10]
 
 
+def test_offsets_of_blank_pages_and_null_keys(spark):
+    big = 2**60 + 1
+    rows = [("d", 1, ""), ("d", 1, None), ("d", 2, " ab c"), ("d", 2, "abc"), ("d", None, "a"), (None, big, "ab"), (None, big, " ")]
+    found = L.offset_counts(spark.createDataFrame(rows, "doc string, page long, t string").coalesce(1), ["doc", "page"], "t")
+    assert found.schema["doc"].dataType.simpleString() == "string" and found.schema["page"].dataType.simpleString() == "bigint"
+    assert sorted(((r.doc, r.page, r.offset, r.n) for r in found.collect()), key=repr) == sorted(
+        [("d", 2, 0, 2), ("d", 2, 1, 2), ("d", 2, 2, 2), ("d", 2, 3, 1), ("d", 2, 4, 1), ("d", None, 0, 1), (None, big, 0, 1), (None, big, 1, 1)], key=repr
+    )
+
+
 def test_timeline_spans(spark):
     spans = ["1987", "?1987-1992", "2010-2011?", "?2017?", "2012-", "2012-now", "1993-1980", "x-2000"]
     found = [r[0] for r in spark.createDataFrame([(s,) for s in spans], "s string").select(T.span(F.col("s"), 2024)).collect()]
