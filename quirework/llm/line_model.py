@@ -1,13 +1,13 @@
 """A linear conditional model of page furniture: its features, its fit and its decoding.
 
-The weights are fitted on the data at hand from lines that label themselves. Lines at a page's
+The weights are fitted on all lines of the data at hand, from those that label themselves. Lines at a page's
 edge that come back at other edges of their document, and lone page numbers there, are
 furniture; lines inside a page that resemble no such line are body. All others are unlabelled: a
 first fit, on how a line looks, says how likely each is furniture, and a second fit, which also
 sees where a line stands and what comes back, takes that for its label. The weight of two
 furniture lines beside each other is fitted with the rest, by pseudo-likelihood.
 
-Where the sample says little the weights stay near their prior, so a handful of lines can be
+Where the lines say little the weights stay near their prior, so a handful of lines can be
 labelled too.
 """
 
@@ -16,8 +16,6 @@ from __future__ import annotations
 import numpy as np
 import regex
 
-#: Lines of the sample that one fit takes; which are in it is decided by a hash of the document.
-SAMPLED_LINES = 40_000
 #: How much the prior weighs: as a normal distribution of this precision around each weight.
 PRECISION = 1.0
 
@@ -46,13 +44,14 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(x: np.ndarray, target: np.ndarray, prior: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """The most likely weights of a logistic model, given their prior; targets are probabilities."""
+def fit(x: np.ndarray, target: np.ndarray, prior: np.ndarray, rounds: int = 25, n: np.ndarray | float = 1.0) -> np.ndarray:
+    """The most likely weights of a logistic model, given their prior; targets are probabilities.
+    A row of x stands for n lines that are alike."""
     w = prior.copy()
     for _ in range(rounds):
         p = sigmoid(x @ w)
-        gradient = x.T @ (target - p) - PRECISION * (w - prior)
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + PRECISION * np.eye(len(w))
+        gradient = x.T @ (n * (target - p)) - PRECISION * (w - prior)
+        hessian = (x * (n * p * (1 - p))[:, None]).T @ x + PRECISION * np.eye(len(w))
         step = np.linalg.solve(hessian, gradient)
         w += step
         if np.abs(step).max() < 1e-5:
@@ -60,33 +59,55 @@ def fit(x: np.ndarray, target: np.ndarray, prior: np.ndarray, rounds: int = 25)
     return w
 
 
-def fit_lines(looks: np.ndarray, places: np.ndarray, pages: np.ndarray) -> dict[str, float]:
-    """The weights by name, `bias` and `beside` among them, from a sample of lines in reading
-    order; pages numbers the page of each line. An empty sample gives the prior."""
-    prior = np.array([BIAS, *LOOKS.values(), *PLACES.values(), BESIDE])
-    names = ["bias", *LOOKS, *PLACES, "beside"]
-    if not len(looks):
-        return dict(zip(names, prior.tolist()))
+NAMES = ["bias", *LOOKS, *PLACES, "beside"]
+PRIOR = np.array([BIAS, *LOOKS.values(), *PLACES.values(), BESIDE])
+
+
+def shape_of(looks: np.ndarray) -> np.ndarray:
+    return np.hstack([np.ones((len(looks), 1)), looks])
+
+
+def features(looks: np.ndarray, places: np.ndarray, beside: np.ndarray) -> np.ndarray:
+    return np.hstack([shape_of(looks), places, beside[:, None]])
+
+
+def self_labelled(looks: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines are furniture and which are body by themselves."""
     at = {name: k for k, name in enumerate(PLACES)}
     edge = (places[:, at["edge"]] > 0) | (places[:, at["near_edge"]] > 0)
     comes_back = places[:, at["in_document"]] > 0
     number = looks[:, list(LOOKS).index("number")] > 0
-    furniture = edge & (comes_back | number)
-    body = ~edge & ~comes_back & (places[:, at["in_corpus"]] == 0)
-    ones = np.ones((len(looks), 1))
-    shape = np.hstack([ones, looks])
+    return edge & (comes_back | number), ~edge & ~comes_back & (places[:, at["in_corpus"]] == 0)
+
+
+def targets(looks: np.ndarray, places: np.ndarray, likely: np.ndarray) -> np.ndarray:
+    furniture, body = self_labelled(looks, places)
+    return np.where(furniture, 1.0, np.where(body, 0.0, likely))
+
+
+def fit_looks(looks: np.ndarray, places: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The first fit: the weights of the bias and of how a line looks, from lines that label themselves."""
+    furniture, body = self_labelled(looks, places)
     labelled = furniture | body
-    first = fit(shape[labelled], furniture[labelled].astype(float), prior[: shape.shape[1]])
-    likely = sigmoid(shape @ first)
-    same = np.r_[False, pages[1:] == pages[:-1]]
-    for _ in range(2):
-        target = np.where(furniture, 1.0, np.where(body, 0.0, likely))
+    return fit(shape_of(looks)[labelled], furniture[labelled].astype(float), PRIOR[: 1 + looks.shape[1]], n=n[labelled])
+
+
+def fit_lines(looks: np.ndarray, places: np.ndarray, pages: np.ndarray) -> dict[str, float]:
+    """The weights by name, `bias` and `beside` among them, from lines in reading order; pages
+    numbers the page of each line. No lines give the prior. scans.fitted does the same for
+    lines that aren't in one place."""
+    n = np.ones(len(looks))
+    likely = sigmoid(shape_of(looks) @ fit_looks(looks, places, n))
+    same = np.r_[False, pages[1:] == pages[:-1]][: len(looks)]
+    weights = PRIOR
+    for _ in range(2 if len(looks) else 0):
+        target = targets(looks, places, likely)
         on = (target > 0.5).astype(float)
         beside = np.where(same, np.r_[0.0, on[:-1]], 0.0) + np.where(np.r_[same[1:], False], np.r_[on[1:], 0.0], 0.0)
-        x = np.hstack([shape, places, beside[:, None]])
-        weights = fit(x, target, prior)
+        x = features(looks, places, beside)
+        weights = fit(x, target, PRIOR)
         likely = sigmoid(x @ weights)
-    return dict(zip(names, weights.tolist()))
+    return dict(zip(NAMES, weights.tolist()))
 
 
 def decode(scores: list[float], beside: float) -> list[bool]:

@@ -12,6 +12,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.llm import line_model as M
-from quirework.session import written
+from quirework.session import discard, written
 
 # Confusions of scanning, as seen and as meant.
 CONFUSED = (
@@ -72,6 +74,9 @@ def mask(text: Column) -> Column:
 PAGE = ("doc", "page", "chunk")
 #: Looks that a line has by itself and with its neighbours; the two about words come later.
 OWN_LOOKS = tuple(name for name in M.LOOKS if not name.endswith("_words"))
+#: Features that are true or false, by their bit in a line's code.
+BITS = {name: k for k, name in enumerate((*OWN_LOOKS, *M.PLACES))}
+ODDS_STEPS = 16
 
 
 def chunked(lines: DataFrame) -> DataFrame:
@@ -160,12 +165,13 @@ def recurring(lines: DataFrame) -> DataFrame:
 def head_words(lines: DataFrame) -> DataFrame:
     """line_id and odds: for short lines, the largest log odds among their words of standing in heads
     that come back (documents, without the line's own) against lines inside pages. lines has
-    in_document and in_corpus. Odds are cut at 3 either way."""
+    in_document and in_corpus. Odds are cut at 3 either way and rounded to ODDS_STEPS a unit, so
+    that lines can be counted by them."""
     near, number = F.col("places")[3] == 1, F.col("looks")[OWN_LOOKS.index("number")] == 1
     known = F.col("in_document") | F.col("in_corpus")
     words = F.array_distinct(F.filter(F.split("masked", " "), lambda w: (F.length(w) > 1) & (w != "#")))
-    full = lines.where(F.col("masked").isNotNull() & ~number).select("line_id", "doc", "asked", "in_document", known.alias("known"), near.alias("near"), words.alias("words"))
-    asked = full.where(F.col("asked") & (F.size("words") <= 8)).select("line_id", "doc", (F.col("in_document") & F.col("near")).alias("own"), F.explode("words").alias("word"))
+    full = lines.where(F.col("masked").isNotNull() & ~number).select("line_id", "doc", "in_document", known.alias("known"), near.alias("near"), words.alias("words"))
+    asked = full.where(F.size("words") <= 8).select("line_id", "doc", (F.col("in_document") & F.col("near")).alias("own"), F.explode("words").alias("word"))
     asked = written(asked, "head-words")
     by_doc = asked.where("own").select("doc", "word").distinct()
     heads = by_doc.groupBy("word").agg(F.count("*").alias("n_head"))
@@ -175,7 +181,8 @@ def head_words(lines: DataFrame) -> DataFrame:
     found = asked.join(small(written(stats, "head-odds")), "word").join(small(written(by_doc.withColumn("counted", F.lit(1)), "own-heads")), ["doc", "word"], "left")
     others = F.col("n_head") - F.when(F.col("own"), F.coalesce("counted", F.lit(0))).otherwise(0)
     odds = F.log((others + 0.5) / (F.col("n_body") + 0.5))
-    return found.groupBy("line_id").agg(F.greatest(F.least(F.max(odds), F.lit(3.0)), F.lit(-3.0)).alias("odds"))
+    largest = F.greatest(F.least(F.max(odds), F.lit(3.0)), F.lit(-3.0))
+    return found.groupBy("line_id").agg((F.round(largest * ODDS_STEPS) / ODDS_STEPS).alias("odds"))
 
 
 LABELLED = "line_id bigint, doc string, page int, chunk int, at int, text string, label string, opens boolean, ended boolean, begins string, second string, next_id bigint, is_first boolean, is_last boolean"
@@ -235,17 +242,53 @@ def pc_take(column: pa.ChunkedArray, index: pa.Array) -> pa.Array:
     return column.combine_chunks().take(index)
 
 
-def _sample(lines: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Looks, places and page numbers of about SAMPLED_LINES lines, whole pages by their hash, and at
-    most twice that number."""
-    kept = lines.where("sampled").select("doc", "page", "chunk", "at", "looks", "places", "odds", "in_document", "in_corpus")
-    kept = kept.limit(2 * M.SAMPLED_LINES).toPandas().sort_values(["doc", "page", "chunk", "at"])
-    if kept.empty:
-        return np.empty((0, len(M.LOOKS))), np.empty((0, len(M.PLACES))), np.empty(0, int)
-    odds = kept["odds"].fillna(0.0).to_numpy(float)
-    seen = np.hstack([np.array(kept["looks"].tolist(), float), np.maximum(odds, 0)[:, None], np.minimum(odds, 0)[:, None]])
-    place = np.hstack([np.array(kept["places"].tolist(), float), kept[["in_document", "in_corpus"]].to_numpy(float)])
-    return seen, place, kept.groupby(["doc", "page", "chunk"], sort=False).ngroup().to_numpy()
+def _score(weights: dict[str, float]) -> Column:
+    """A line's weight for furniture, from code and odds; without what stands beside it."""
+    score = F.lit(weights["bias"])
+    for name, k in BITS.items():
+        if name in weights:
+            score = score + F.getbit("code", F.lit(k)).cast("double") * weights[name]
+    return score + F.greatest("odds", F.lit(0.0)) * weights["head_words"] + F.least("odds", F.lit(0.0)) * weights["body_words"]
+
+
+def fitted(lines: DataFrame) -> dict[str, float]:
+    """The weights of the line model as M.fit_lines has them, fitted on all lines. lines has PAGE,
+    at, code (null without text) and odds.
+
+    Lines are counted by code, odds and furniture beside them, and only these counts come to
+    the driver: their number is bounded by the features, not by the lines.
+    """
+
+    def counted(rows: DataFrame, *more: str) -> tuple[np.ndarray, ...]:
+        columns = ["code", "odds", *more]
+        met = rows.groupBy(*columns).agg(F.count("*").alias("n")).toPandas().sort_values(columns)
+        bits = (met["code"].to_numpy(np.int64)[:, None] >> np.arange(len(BITS))) & 1
+        odds = met["odds"].to_numpy(float)[:, None]
+        looks = np.hstack([bits[:, : len(OWN_LOOKS)], np.maximum(odds, 0), np.minimum(odds, 0)]).astype(float)
+        return looks, bits[:, len(OWN_LOOKS) :].astype(float), met["n"].to_numpy(float), *(met[c].to_numpy(float) for c in more)
+
+    def beside(score: Column) -> Column:
+        """How many of the two lines around a line are furniture, as M.targets has it."""
+        bit = lambda name: F.getbit("code", F.lit(BITS[name])) == 1
+        edge, back = bit("edge") | bit("near_edge"), bit("in_document")
+        on = F.when(edge & (back | bit("number")), 1).when(~edge & ~back & ~bit("in_corpus"), 0).otherwise((score > 0).cast("int"))
+        near = Window.partitionBy(*PAGE).orderBy("at")
+        return F.coalesce(F.lag(on).over(near), F.lit(0)) + F.coalesce(F.lead(on).over(near), F.lit(0))
+
+    full = lines.where("code is not null").select(*PAGE, "at", "code", "odds")
+    looks, places, n = counted(full)
+    first = M.fit_looks(looks, places, n)
+    shape = dict(zip(M.NAMES, first.tolist()))
+    once = written(full.withColumn("beside", beside(_score(shape))), "beside-lines")
+    looks, places, n, near = counted(once, "beside")
+    x = M.features(looks, places, near)
+    weights = M.fit(x, M.targets(looks, places, M.sigmoid(M.shape_of(looks) @ first)), M.PRIOR, n=n)
+    named = dict(zip(M.NAMES, weights.tolist()))
+    looks, places, n, near, again = counted(once.withColumn("again", beside(_score(named) + F.col("beside") * named["beside"])), "beside", "again")
+    likely = M.sigmoid(M.features(looks, places, near) @ weights)
+    weights = M.fit(M.features(looks, places, again), M.targets(looks, places, likely), M.PRIOR, n=n)
+    discard(once)
+    return dict(zip(M.NAMES, weights.tolist()))
 
 
 def labelled_lines(lines: DataFrame) -> DataFrame:
@@ -255,35 +298,22 @@ def labelled_lines(lines: DataFrame) -> DataFrame:
 
     Lines without text are breaks. Pages may be stored in any order; a page is read by column
     and line number (ties by id), null numbers first. The counts of running heads and of their
-    words are over all lines; only the weights come from a sample.
+    words, the odds and the weights are all taken over all lines, however many there are.
     """
     kept = written(described(lines), "page-lines")
     facts = recurring(kept)
-    n = kept.count()
-    every = max(math.ceil(n / M.SAMPLED_LINES), 1)
-    seen = kept.where("masked is not null").join(small(facts), "line_id", "left").fillna(False, ["in_document", "in_corpus"])
-    seen = seen.withColumn("sampled", F.pmod(F.xxhash64(*PAGE), F.lit(every)) == 0)
-    edge = (F.col("places")[2] == 1) | (F.col("places")[3] == 1)
-    seen = seen.withColumn("asked", edge | F.col("sampled") | F.col("in_document") | F.col("in_corpus"))
+    seen = kept.join(small(facts), "line_id", "left").fillna(False, ["in_document", "in_corpus"])
     odds = written(head_words(seen), "line-odds")
-    # lines inside pages that resemble no head have no odds and can't be furniture by them
-    asked = seen.where("asked").join(odds, "line_id", "left").select("line_id", "doc", "page", "chunk", "at", "looks", "places", "in_document", "in_corpus", "odds", "sampled")
-    asked = written(asked, "asked-lines")
-    weights = M.fit_lines(*_sample(asked))
-    value = {name: F.col("looks")[k].cast("double") for k, name in enumerate(OWN_LOOKS)} | {name: F.col("places")[k].cast("double") for k, name in enumerate(list(M.PLACES)[:4])}
-    value |= {
-        "in_document": F.col("in_document").cast("double"), "in_corpus": F.col("in_corpus").cast("double"),
-        "head_words": F.greatest(F.coalesce("odds", F.lit(0.0)), F.lit(0.0)), "body_words": F.least(F.coalesce("odds", F.lit(0.0)), F.lit(0.0)),
-    }
-    score = F.lit(weights["bias"])
-    for name, column in value.items():
-        score = score + column * weights[name]
-    extra = asked.select("line_id", "in_document", "in_corpus", "odds")
-    scored = kept.join(small(extra), "line_id", "left").fillna(False, ["in_document", "in_corpus"])
+    bits = [*(F.col("looks")[k] for k in range(len(OWN_LOOKS))), *(F.col("places")[k] for k in range(4)), F.col("in_document"), F.col("in_corpus")]
+    code = reduce(add, (b.cast("int") * 2**k for k, b in enumerate(bits)))
+    known = seen.join(small(odds), "line_id", "left").select("line_id", *PAGE, "at", "text", code.alias("code"), F.coalesce("odds", F.lit(0.0)).alias("odds"))
+    known = written(known, "line-facts")
+    discard(kept, facts, odds)
+    weights = fitted(known)
     begins = F.nullif(F.regexp_extract("text", _BEGINNING, 1), F.lit(""))
     hyphened = F.substring(F.rtrim("text", F.lit(" \t\r\n\x0b\f")), -1, 1).isin(list(HYPHENS + BREAKS))
-    ready = scored.select(
-        "line_id", *PAGE, "at", "text", F.when(F.col("masked").isNotNull(), score).alias("score"), begins.alias("begins"),
+    ready = known.select(
+        "line_id", *PAGE, "at", "text", _score(weights).alias("score"), begins.alias("begins"),
         F.coalesce(F.when(hyphened, F.col("text").rlike(_ENDING)), F.lit(False)).alias("ended"), (F.col("at") == 1).alias("starts"),
     )
     ordered = ready.repartition(*PAGE).sortWithinPartitions(*PAGE, "at")

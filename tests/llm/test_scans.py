@@ -1,9 +1,11 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quirework.llm.line_model import BESIDE, LOOKS, PIECE_PRIOR, PLACES, decode, fit_lines, fit_pieces, furniture_spans
-from quirework.llm.scans import CONFUSED, Repairs, clean_field, folded, is_confusion, mask, misread_words, repaired_text
+from quirework.llm.scans import BITS, CONFUSED, ODDS_STEPS, OWN_LOOKS, Repairs, clean_field, fitted, folded, is_confusion, mask, misread_words, repaired_text
 
 LINES = "line_id long, doc string, page int, col_no int, line_no int, text string, label string"
 
@@ -160,3 +162,34 @@ def test_empty_and_null_lines(spark):
 def test_mask(spark):
     shown = spark.createDataFrame([("Quiet lectures   146",), ("Quiet 1ectures   148",), ("lxxviii   Quillon Yearbook",), ("lxxx   Quillon Yearb00k",)], "t string").select(mask(F.col("t"))).collect()
     assert shown[0] == shown[1] and shown[2] == shown[3]
+
+
+def strange_book(pages=40):
+    """Heads in lower case that end in a stop, against the prior; every other one comes back."""
+    r = random.Random(2)
+    name = lambda: "".join(r.choice("bdgklmnprst") + r.choice("aeiou") for _ in range(3))
+    rows, at = [], 0
+    for page in range(1, pages + 1):
+        head = "   the ledger of days;" if page % 2 else f"   the {name()} of {name()};"
+        lines = [head, *(f"{name().title()} sang with {name()} and the quiet {name()} that {name()} had {name()} of all {name()}" for _ in range(8))]
+        rows += [(at := at + 1, "book", page, 1, n, text, "x") for n, text in enumerate(lines)]
+    return rows
+
+
+def test_labels_do_not_depend_on_the_number_of_lines(spark, monkeypatch):
+    rows = strange_book()
+    heads = {r[0] for r in rows if r[4] == 0}
+    monkeypatch.setattr("quirework.llm.line_model.SAMPLED_LINES", 1, raising=False)
+    assert {i for t, i, f in found(spark, rows)[1] if f == "furniture"} == heads
+
+
+def test_a_fit_on_counts_is_the_fit_on_all_lines(spark):
+    r = np.random.default_rng(4)
+    n = 3000
+    code, odds, page, at = r.integers(0, 2 ** len(BITS), n) & r.integers(0, 2 ** len(BITS), n), np.round(r.uniform(-3, 3, n) * ODDS_STEPS) / ODDS_STEPS, np.arange(n) // 20, np.arange(n) % 20
+    rows = [("d", int(p), 0, int(a), int(c), float(o)) for p, a, c, o in zip(page, at, code, odds)]
+    lines = spark.createDataFrame(rows + [("d", 0, 0, 50, None, 0.0)], "doc string, page int, chunk int, at int, code int, odds double")
+    bits = ((code[:, None] >> np.arange(len(BITS))) & 1).astype(float)
+    looks = np.hstack([bits[:, : len(OWN_LOOKS)], np.maximum(odds, 0)[:, None], np.minimum(odds, 0)[:, None]])
+    expected = fit_lines(looks, bits[:, len(OWN_LOOKS) :], page)
+    assert fitted(lines) == pytest.approx(expected, abs=1e-6)
